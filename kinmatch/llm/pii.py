@@ -18,6 +18,7 @@ from __future__ import annotations
 import calendar
 import hashlib
 import hmac
+import math
 import re
 import string
 from datetime import date, timedelta
@@ -61,11 +62,7 @@ class Permuter:
         """Alternating additions of a keyed function of the one half to the other, until the value is below n."""
         if n < 2:
             return value
-        a = 1
-        while a * a < n:
-            a += 1
-        if a > 1 << 32:
-            a = 1 << ((n - 1).bit_length() + 1) // 2
+        a = math.isqrt(n - 1) + 1
         b = -(-n // a)
         while True:
             left, right = divmod(value, b)
@@ -87,10 +84,6 @@ def luhn(digits: str) -> int:
     return total % 10
 
 
-def _isqrt_safe(n: int) -> int:
-    return int(n**0.5)
-
-
 def iban_remainder(compact: str) -> int:
     return int("".join(str(int(x, 36)) for x in compact[4:] + compact[:4])) % 97
 
@@ -103,7 +96,7 @@ class Pseudonyms:
 
     def _classes(self, name: str, text: str) -> str:
         """Permutes the letters and digits of a text, each inside its class; all else stays."""
-        hexadecimal = len(text) >= 16 and re.fullmatch(r"[0-9a-f]+", text) is not None
+        hexadecimal = len(text) >= 16 and re.fullmatch(r"[0-9a-f]+", text) is not None and not text.isdigit()
         sets = [string.hexdigits[:16]] if hexadecimal else [string.digits, string.ascii_lowercase, string.ascii_uppercase]
         slots = [next((s for s in sets if x in s), None) for x in text]
         value, n = 0, 1
@@ -117,7 +110,9 @@ class Pseudonyms:
             if s := slots[i]:
                 value, at = divmod(value, len(s))
                 out[i] = s[at]
-        return "".join(out)
+        new = "".join(out)
+        # digits alone are another format
+        return self._classes(name, new) if hexadecimal and new.isdigit() else new
 
     @staticmethod
     def _refill(text: str, digits: str) -> str:
