@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,16 +60,18 @@ class Transducer:
         self._forget_states()
 
     def _forget_states(self) -> None:
-        self.names: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.arcs: dict[int, tuple[int, int]] = {}
-        self._state(((-1, 0),))
-
-    def _state(self, readings: tuple) -> int:
-        name = self.names.setdefault(readings, len(self.states))
-        if name == len(self.states):
-            self.states.append(readings)
-        return name
+        """A state is a dict from a byte to its arc, (next state, token); at -1 it has its readings, (last token, node)."""
+        for state in getattr(self, "states", {}).values():
+            state.clear()  # states refer to each other, and the collector may be off
+        self.states: dict[tuple, dict] = {}
+        self.n_arcs = 0
+        self.start = self._state(((-1, 0),))
+
+    def _state(self, readings: tuple) -> dict:
+        state = self.states.get(readings)
+        if state is None:
+            state = self.states[readings] = {-1: readings}
+        return state
 
     def merged(self, text: bytes, until: int = 1) -> list[int]:
         """The definition: merge the pair of lowest rank, the leftmost of equals, until none, or so many parts, are left."""
@@ -130,39 +132,38 @@ class Transducer:
             self.pairs[key] = known
         return known
 
-    def _arc(self, state: int, byte: int) -> tuple[int, int]:
+    def _arc(self, state: dict, byte: int) -> tuple[dict, int]:
         """The next state, and the token that ends the encoding of what is read now."""
-        on, ended, step, tokens, inner = [], -1, self.step, self.token, self.inner
-        for last, node in self.states[state]:
+        on, ended, step, tokens, inner, pairs = [], -1, self.step, self.token, self.inner, self.pairs
+        for last, node in state[-1]:
             to = step.get(node << 8 | byte)
             if to is None:
                 continue
             if inner[to]:
                 on.append((last, to))
-            if ended < 0 and tokens[to] >= 0 and self._fits(last, tokens[to]):
-                ended = tokens[to]
+            if ended < 0:
+                token = tokens[to]
+                if token >= 0:
+                    fits = pairs.get((last, token))
+                    if self._fits(last, token) if fits is None else fits:
+                        ended = token
         on.append((ended, 0))
-        if len(self.arcs) > CACHE_ARCS:
+        if self.n_arcs > CACHE_ARCS:
             self._forget_states()
-        return self._state(tuple(on)), ended
+        self.n_arcs += 1
+        arc = (self._state(tuple(on)), ended)
+        if state:
+            state[byte] = arc
+        return arc
 
     def encode(self, match: bytes) -> list[int]:
         whole = self.ranks.get(match)
         if whole is not None:
             return [whole]
-        state, ends, arcs = 0, [], self.arcs
+        state, ends = self.start, []
         for byte in match:
-            key = state << 8 | byte
-            arc = arcs.get(key)
-            if arc is None:
-                readings = self.states[state]
-                arc = self._arc(state, byte)
-                if arcs is not self.arcs:
-                    arcs = self.arcs
-                    key = self._state(readings) << 8 | byte
-                arcs[key] = arc
-            state = arc[0]
-            ends.append(arc[1])
+            state, token = state.get(byte) or self._arc(state, byte)
+            ends.append(token)
         out, at, lengths = [], len(ends), self.length
         while at:
             token = ends[at - 1]
@@ -216,9 +217,20 @@ class Encoder:
     def __init__(self, path: str):
         self.machine = Transducer(read_ranks(path))
         self.known: dict[str, tuple[int, ...]] = {}
+        self.known_matches: dict[str, list[int]] = {}
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(self.machine.encode(x.encode()) for x in matches(chunk)))
+        known, out = self.known_matches, []
+        for match in matches(chunk):
+            ids = known.get(match)
+            if ids is None:
+                ids = self.machine.encode(match.encode())
+                if len(match) <= 40:
+                    if len(known) > CACHE_CHUNKS:
+                        known.clear()
+                    known[match] = ids
+            out += ids
+        return tuple(out)
 
     def encode(self, text: str) -> list[int]:
         if not text:
@@ -226,7 +238,9 @@ class Encoder:
         words, known = text.split(" "), self.known
         first = words.pop(0)
         if len(known) > CACHE_CHUNKS:
-            known.clear()
+            # the older half goes: frequent chunks are soon there again
+            for word in list(islice(known, CACHE_CHUNKS // 2)):
+                del known[word]
         for word in set(words).difference(known):
             known[word] = self._chunk(" " + word) if stands_alone(word) else None
         parts = list(map(known.__getitem__, words))
