@@ -36,7 +36,7 @@ from kinmatch.llm.common import map_slices, written
 #: Length of the strings by whose hash anchors are chosen, for repeats of LENGTH bytes.
 LENGTH, GRAM = 100, 32
 #: Segments in a collection, in expectation, and of one anchor before it is dealt to several.
-COLLECTION, CROWDED = 1500, 1500
+COLLECTION, CROWDED = 600, 600
 _BLOCK = 1 << 19
 _RNG = np.random.default_rng(20240501)
 _BYTE_HASH = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -118,7 +118,7 @@ def collection_order(segments: list[bytes], length: int = LENGTH) -> tuple[np.nd
     symbol = np.where(used, np.cumsum(used), 0).astype(np.uint8)
     ends = np.cumsum(sizes)
     bwt, lcp = np.zeros(m, np.uint8), np.zeros(m, np.uint8)
-    who, left = np.arange(m, dtype=np.int32), np.zeros(m, np.int32)
+    suffix = np.arange(m, dtype=np.int32) * 512  # segment, and length in the last nine bits
     active, place = np.arange(m), np.arange(m)
     for j in range(1, int(sizes.max()) + 1):
         going = sizes[active] >= j
@@ -126,10 +126,10 @@ def collection_order(segments: list[bytes], length: int = LENGTH) -> tuple[np.nd
         c = symbol[flat[ends[active] - j]]
         bwt[place] = c
         by_symbol = np.argsort(bwt, kind="stable")
-        rank = np.empty(len(bwt), np.int64)
-        rank[by_symbol] = np.arange(len(bwt))
+        at = np.empty(len(bwt), np.int32)
+        at[by_symbol] = np.arange(len(bwt), dtype=np.int32)
+        at = at[place].astype(np.int64)
         unknown = len(bwt) - int(np.count_nonzero(bwt))
-        at = rank[place]
         order = np.argsort(at)
         active, place, c, at = active[order], place[order], c[order], at[order]
         # neighbours among the suffixes that begin with the same symbol: those placed before, and new ones
@@ -141,17 +141,24 @@ def collection_order(segments: list[bytes], length: int = LENGTH) -> tuple[np.nd
         to_next = np.where(same_after, np.minimum(_least(lcp, place + 1, after + 1, same_after).astype(np.int64) + 1, length), 0)
         # all m empty suffixes come first, then suffixes by first symbol and the rank of their parent
         new = m + at - unknown
-        into = new - np.arange(len(new))
-        bwt = np.insert(bwt, into, 0)
-        lcp = np.insert(lcp, into, own.astype(np.uint8))
-        who = np.insert(who, into, active.astype(np.int32))
-        left = np.insert(left, into, j)
+        old = np.ones(len(bwt) + len(new), bool)
+        old[new] = False
+        bwt, lcp, suffix = _widened(bwt, old, new, 0), _widened(lcp, old, new, own), _widened(suffix, old, new, active * 512 + j)
         follow = same_after
         lcp[new[follow] + 1] = to_next[follow]
         place = new
+    who, left = suffix >> 9, suffix & 511
     return who, sizes[who] - left, lcp
 
 
+def _widened(values: np.ndarray, old: np.ndarray, new: np.ndarray, added) -> np.ndarray:
+    """values where old is true, and added at the places new."""
+    out = np.empty(len(old), values.dtype)
+    out[old] = values
+    out[new] = added
+    return out
+
+
 def _least(values: np.ndarray, begin: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Least of values[begin:end] where wanted; ranges are not empty there."""
     out = np.zeros(len(begin), values.dtype)
@@ -236,26 +243,37 @@ def repeat_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, colle
     def hash_bytes(data: bytes) -> int:
         return xxhash.xxh64_intdigest(data) - (1 << 63)
 
-    def cut(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for doc, data, found in zip(batch.column("doc_id").to_pylist(), batch.column("packed"), batch.column("anchors")):
-                data, rows = unpack(data.as_py()), found.as_py()
-                cuts, sides = [], ([], [])
-                for x in rows:
-                    start, n, at = x["start"], x["n"] % 256, x["n"] // 256
-                    cuts.append(data[start : start + n + length - 1])
-                    right = at + gram
-                    sides[0].append(hash_bytes(cuts[-1][at - side : at]) if at >= side else None)
-                    sides[1].append(hash_bytes(cuts[-1][right : right + side]) if len(cuts[-1]) >= right + side else None)
-                yield pa.record_batch(
-                    [pa.array([x["h"] for x in rows], pa.int64()), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in cuts], pa.binary()), pa.array([doc] * len(rows), pa.int64()), pa.array([x["start"] for x in rows], pa.int32()), pa.array([x["n"] % 256 for x in rows], pa.int32()), pa.array(cuts, pa.binary()), pa.array(sides[0], pa.int64()), pa.array(sides[1], pa.int64())],
-                    names=["h", "digest", "doc_id", "start", "n", "segment", "before", "after"],
-                )
-
-    segments = texts.mapInArrow(cut, "h bigint, digest binary, doc_id bigint, start int, n int, segment binary, before bigint, after bigint")
+    def cut(full: bool):
+        def run(batches):
+            unpack, mark = zstandard.ZstdDecompressor().decompress, xxhash.xxh3_128_digest
+            for batch in batches:
+                found = batch.column("anchors")
+                h, first, span = (found.flatten().field(x).to_numpy() for x in ("h", "start", "n"))
+                per_doc = found.value_lengths().to_numpy()
+                ends = np.cumsum(per_doc)
+                n, away = span % 256, span // 256
+                digests, segments, before, after = [], [], [], []
+                for data, lo, hi in zip(batch.column("packed"), (ends - per_doc).tolist(), ends.tolist()):
+                    data = unpack(data.as_py())
+                    begin = first[lo:hi]
+                    cuts = [data[a:b] for a, b in zip(begin.tolist(), (begin + n[lo:hi] + length - 1).tolist())]
+                    digests += map(mark, cuts)
+                    if full:
+                        segments += cuts
+                        before += [hash_bytes(x[at - side : at]) if at >= side else None for x, at in zip(cuts, away[lo:hi].tolist())]
+                        after += [hash_bytes(x[at : at + side]) if at + side <= len(x) else None for x, at in zip(cuts, (away[lo:hi] + gram).tolist())]
+                doc = np.repeat(batch.column("doc_id").to_numpy(), per_doc)
+                cols = {"h": pa.array(h), "digest": pa.array(digests, pa.binary()), "doc_id": pa.array(doc), "start": pa.array(first), "n": pa.array(n.astype(np.int32))}
+                if full:
+                    cols |= {"segment": pa.array(segments, pa.binary()), "before": pa.array(before, pa.int64()), "after": pa.array(after, pa.int64())}
+                yield pa.record_batch(list(cols.values()), names=list(cols))
+
+        return lambda batches: run(piece for batch in batches for at in range(0, batch.num_rows, 64) for piece in [batch.slice(at, 64)])
+
+    members = "h bigint, digest binary, doc_id bigint, start int, n int"
+    segments = texts.mapInArrow(cut(True), f"{members}, segment binary, before bigint, after bigint")
     distinct = written(segments.groupBy("h", "digest").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.first("n").alias("n"), F.first("segment").alias("segment"), F.first("before").alias("before"), F.first("after").alias("after")))
-    later = segments.select("h", "digest", "doc_id", "start", "n").join(distinct.select("h", "digest", "at"), ["h", "digest"]).where("doc_id <> at.doc_id or start <> at.start").select("doc_id", "start", "n")
+    later = texts.mapInArrow(cut(False), members).join(distinct.select("h", "digest", "at"), ["h", "digest"]).where("doc_id <> at.doc_id or start <> at.start").select("doc_id", "start", "n")
 
     # a string round an anchor has `side` of its bytes before or behind it: only segments alike there can share one
     alike = [distinct.where(f"{x} is not null").groupBy("h", x).agg(F.count("*").alias("c")).where("c > 1").select("h", x) for x in ("before", "after")]
@@ -282,7 +300,7 @@ def repeat_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, colle
         closed = repeat & ~is_open[who]
         d, s, n = _runs(doc_of[closed], start[closed])
         o = np.flatnonzero(is_open[who])
-        marks = [hashlib.blake2b(data[w][x : x + length], digest_size=16).digest() for w, x in zip(who[o].tolist(), offset[o].tolist())]
+        marks = [xxhash.xxh3_128_digest(data[w][x : x + length]) for w, x in zip(who[o].tolist(), offset[o].tolist())]
         return pa.table({
             "doc_id": pa.array(np.concatenate([d, doc_of[o]])), "start": pa.array(np.concatenate([s, start[o]]).astype(np.int32)),
             "n": pa.array(np.concatenate([n, np.ones(len(o), np.int64)]).astype(np.int32)), "mark": pa.array([None] * len(d) + marks, pa.binary()),
