@@ -28,7 +28,7 @@ from kinmatch.llm.common import map_slices, written
 
 CORE_SHARE, PAIR_SHARE, DISCOUNT = 5e-5, 1e-6, 0.75
 #: Bytes of text, in expectation, of a chunk that a task holds.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 10 << 20
 #: The end of a text, as a word; no real word is empty.
 END = ""
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -85,14 +85,41 @@ def with_ends(values: np.ndarray, per_text: np.ndarray, end: int) -> np.ndarray:
     return np.insert(values, np.cumsum(per_text), end)
 
 
-def _chunk_words(table: pa.Table) -> pa.Table:
+PACKED = "chunk int, doc_id array<bigint>, held_out array<boolean>, packed array<binary>"
+
+
+def _pack_chunk(table: pa.Table) -> pa.Table:
+    """A chunk as one row, so that later passes over chunks need no shuffle."""
+    lists = {c: pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table.column(c).combine_chunks()) for c in ("doc_id", "held_out", "packed")}
+    return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), **lists})
+
+
+def _documents(chunk: pa.RecordBatch | pa.Table) -> pa.Table:
+    """The documents of the one chunk in a batch."""
+    columns = {c: chunk.column(c) for c in ("doc_id", "held_out", "packed")}
+    return pa.table({c: (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x).flatten() for c, x in columns.items()})
+
+
+def _per_chunk(fn):
+    """fn(chunk number, its documents) over rows that are chunks."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                one = batch.slice(at, 1)
+                yield from fn(one.column("chunk")[0].as_py(), _documents(one)).combine_chunks().to_batches()
+
+    return run
+
+
+def _chunk_words(chunk: int, table: pa.Table) -> pa.Table:
     """Distinct words of a chunk, with how often its training documents have each."""
     held = table.column("held_out").to_numpy()
     words, per_text = tokens(_texts(table.column("packed")))
     coded = words.dictionary_encode()
     counts = np.bincount(coded.indices.to_numpy(zero_copy_only=False)[np.repeat(~held, per_text)], minlength=len(coded.dictionary))
     n = len(counts) + 1
-    return pa.table({"word": pa.concat_arrays([coded.dictionary, pa.array([END])]), "chunk": pa.array(np.full(n, table.column("chunk")[0].as_py(), np.int32)), "n": pa.array(np.append(counts, (~held).sum()).astype(np.int64))})
+    return pa.table({"word": pa.concat_arrays([coded.dictionary, pa.array([END])]), "chunk": pa.array(np.full(n, chunk, np.int32)), "n": pa.array(np.append(counts, (~held).sum()).astype(np.int64))})
 
 
 def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: str = "crc32(cast(doc_id as string)) % 7 = 2", core_share: float = CORE_SHARE, pair_share: float = PAIR_SHARE, discount: float = DISCOUNT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -108,10 +135,10 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.record_batch([part.column("doc_id"), part.column("held_out"), part.column("chunk"), pa.array(packed, pa.binary())], names=["doc_id", "held_out", "chunk", "packed"])
 
     placed = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).cast("int"))
-    dealt = written(map_slices(placed, compress, "doc_id bigint, held_out boolean, chunk int, packed binary").repartition(chunks, "chunk"))
+    dealt = written(map_slices(placed, compress, "doc_id bigint, held_out boolean, chunk int, packed binary").groupBy("chunk").applyInArrow(_pack_chunk, PACKED))
 
     of_word = Window.partitionBy("word")
-    asked = dealt.groupBy("chunk").applyInArrow(_chunk_words, "word string, chunk int, n bigint")
+    asked = dealt.mapInArrow(_per_chunk(_chunk_words), "word string, chunk int, n bigint")
     counts = written(asked.withColumn("total", F.sum("n").over(of_word)).withColumn("first", F.min("chunk").over(of_word) == F.col("chunk")).select("word", "chunk", "total", "first"))
     n, types = counts.where("first").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum((F.col("total") > 0).cast("int")), F.lit(0))).first()
     common = counts.where(F.col("first") & (F.col("total") > 0) & (F.col("total") >= core_share * n)).select("word", "total").collect() if n else []
@@ -119,7 +146,7 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     core, core_counts = [r.word for r in common], np.array([r.total for r in common], np.int64)
     shared_core = spark.sparkContext.broadcast(core)
 
-    def chunk_pairs(table: pa.Table) -> pa.Table:
+    def chunk_pairs(chunk: int, table: pa.Table) -> pa.Table:
         train = table.filter(pc.invert(table.column("held_out")))
         words, per_text = tokens(_texts(train.column("packed")))
         known = pa.array(shared_core.value, pa.string())
@@ -132,7 +159,7 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pairs, pair_counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if core:
-        got = dealt.groupBy("chunk").applyInArrow(chunk_pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, pair_share * n)).toArrow()
+        got = dealt.mapInArrow(_per_chunk(chunk_pairs), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, pair_share * n)).toArrow()
         pairs, pair_counts = got.column("pair").to_numpy(), got.column("n").to_numpy()
     automaton = spark.sparkContext.broadcast(build_automaton(core, core_counts, pairs, pair_counts, n, types, discount))
     whole = float(n + types + 1)
@@ -140,6 +167,7 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({f.split()[0]: pa.array([], t) for f, t in zip(SCORES.split(", "), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))})
+        left = _documents(left)
         own, model = right.column("word").combine_chunks(), automaton.value
         total = right.column("total").to_numpy()
         words, per_text = tokens(_texts(left.column("packed")))
