@@ -95,8 +95,9 @@ class _PerProcess:
 
     def __call__(self):
         if self.key not in _PerProcess._built:
-            if len(_PerProcess._built) > 8:
-                _PerProcess._built.clear()
+            # the oldest go: a task uses two at most, and workers outlive queries
+            while len(_PerProcess._built) >= 2:
+                _PerProcess._built.pop(next(iter(_PerProcess._built)))
             _PerProcess._built[self.key] = self.make()
         return _PerProcess._built[self.key]
 
