@@ -7,8 +7,9 @@ candidates, worked out from bit statistics of all fingerprints, is smallest. Fin
 and the candidates verified.
 
 Equal fingerprints are one node from the start. A probed value that few fingerprints share gives the pairs among them.
-One that many share gives no pairs: its fingerprints are joined through the fingerprints within one bit of them, which
-two of them have in common exactly if they differ in at most two bits, so that the work stays linear in a group's size.
+One that many share gives no pairs: its fingerprints are dealt again by parts of the bits left, and where still many
+agree, they are joined through the fingerprints within one bit of them, which two of them have in common exactly if they
+differ in at most two bits, so that the work stays linear in a group's size.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; texts of one or two
 words have one shingle. Rows that share a doc_id with unlike texts each give a row, and the smallest doc_id counts.
@@ -32,23 +33,29 @@ BITS, SEED = 64, 42
 PAIRED_AT_MOST = 24
 
 
-def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
+def shingle_digests(text: str | None, words_per_shingle: int) -> np.ndarray:
+    """The big-endian XXH64 of every shingle, one row of 8 bytes each; none for a text without words."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
     k = words_per_shingle
     joined = b" ".join(words)
     if len(words) <= k:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.frombuffer(xxhash.xxh64_digest(joined, SEED) if words else b"", np.uint8).reshape(-1, 8)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     begin = np.concatenate(([0], ends[: len(words) - k])).tolist()
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(begin, (ends[k - 1 :] - 1).tolist())])
-    rows = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
-    ones = np.zeros(BITS, np.int64)
+    return np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(begin, (ends[k - 1 :] - 1).tolist())]), np.uint8).reshape(-1, 8)
+
+
+def majority(rows: np.ndarray) -> np.ndarray:
+    """Of every bit of the rows' bytes, whether it is set in over half of them; packed again."""
+    ones = np.zeros(rows.shape[1] * 8, np.int64)
     for at in range(0, len(rows), 4096):
         ones += np.unpackbits(rows[at : at + 4096], axis=1).sum(0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * ones > len(rows)).tobytes(), "big")
+    return np.packbits(2 * ones > len(rows))
+
+
+def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
+    return int.from_bytes(majority(shingle_digests(text, words_per_shingle)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
@@ -159,6 +166,32 @@ def _flips(bits: list[int], threshold: int) -> list[int]:
     return [_signed(x) for x in out]
 
 
+def _meeting(crowd: DataFrame, bits: list[int], most: int) -> DataFrame:
+    """Links among fingerprints that differ in bits alone: they meet at those one bit away, each with the least there."""
+    meeting = crowd.select("fp", F.explode(F.array(*[F.lit(x).cast("bigint") for x in _flips(bits, 1 if most == 2 else 0)])).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("place"))
+    return meeting.join(meeting.groupBy("place").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1"), "place").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+
+
+def _crowded(crowd: DataFrame, bits: list[int], most: int) -> DataFrame:
+    """Links among fingerprints that agree in bits with many others.
+
+    Two of them that differ in at most t of the other bits agree in one of t + 1 parts of those too, so each is dealt
+    once for each such part; values still crowded then are joined by flips of the bits that are left.
+    """
+    others = [b for b in range(BITS) if b not in bits]
+    links = None
+    for part in range(most + 1):
+        fixed = bits + others[part :: most + 1]
+        dealt = crowd.select("fp", _part(F.col("fp"), fixed).alias("value"))
+        sizes = dealt.groupBy("value").agg(F.count("*").alias("n"))
+        few = dealt.join(sizes.where(f"n > 1 and n <= {PAIRED_AT_MOST}").select("value"), "value")
+        paired = few.join(few.select("value", F.col("fp").alias("other")), "value").where((F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= most)).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+        many = dealt.join(sizes.where(f"n > {PAIRED_AT_MOST}").select("value"), "value").select("fp")
+        found = paired.union(_meeting(many, [b for b in others if b not in fixed], most))
+        links = found if links is None else links.union(found)
+    return links
+
+
 def near_pairs(fps: DataFrame, most: int = 2) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of distinct fingerprints fp that differ in at most two bits."""
     if most > 2:
@@ -175,11 +208,8 @@ def near_pairs(fps: DataFrame, most: int = 2) -> DataFrame:
         there = own.join(few, "value")
         asks = (asked.join(few, "value") if threshold else there).select("value", F.col("fp").alias("other"))
         paired = there.join(asks, "value").where((F.col("fp") < F.col("other") if not threshold else F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= most)).select(F.col("fp").alias("a"), F.col("other").alias("b"))
-        # crowded values: fingerprints meet at those one bit away from them, each with the least that meets there
-        crowd = asked.join(many, "value").select("fp").distinct()
-        reach = 1 if most == 2 else 0
-        meeting = crowd.select("fp", F.explode(F.array(*[F.lit(x).cast("bigint") for x in _flips(list(range(BITS)), reach)])).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("place"))
-        joined = meeting.join(meeting.groupBy("place").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1"), "place").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+        crowd = asked.join(many, "value").select("fp").distinct() if threshold else own.join(many, "value").select("fp")
+        joined = _crowded(crowd, bits, most) if not threshold else _meeting(crowd, list(range(BITS)), most)
         links = paired.union(joined) if links is None else links.union(paired).union(joined)
     return links.distinct()
 
