@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from kinmatch.llm import ann, bpe, components, language, lm, packing, pii, quality, repeats, simhash, tokens
+from kinmatch.llm import ann, bpe, components, language, lm, packing, pii, quality, repeats, simhash, simhash_copies, tokens
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 rng = random.Random(5)
@@ -238,6 +238,33 @@ def test_simhash_links(spark):
     assert {frozenset(g) for g in have.values()} == want
 
 
+def test_near_copies(spark, docs, empty):
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for group in range(12):
+        base = rng.choices(words, k=rng.randint(120, 300))
+        for _ in range(40 if group == 0 else 4):
+            copy = list(base)
+            for _ in range(rng.randint(0, 6)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    texts += [None, "", " \n", texts[0], "one two", "one two"]
+    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    near = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if near(shingles[i], shingles[j])]
+    parent = list(range(len(texts)))
+    for i, j in linked:
+        a, b = parent[i], parent[j]
+        parent = [min(a, b) if p in (a, b) else p for p in parent]
+    got = {r.doc_id: r.component_id for r in simhash_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    # never a link too many; of links near the bound, few are beyond the distance
+    assert len(got) == len(texts) and all(parent[i] == parent[c] for i, c in got.items())
+    assert sum(got[i] == got[j] for i, j in linked) >= 0.99 * len(linked)
+    assert got[len(texts) - 1] == len(texts) - 2 and got[len(texts) - 3] == 0
+    assert len({got[len(texts) - k] for k in (4, 5, 6)}) == 1
+    assert simhash_copies.near_copies(empty).count() == 0 and simhash_copies.near_copies(docs).count() == len(ROWS)
+
+
 def test_allotment_is_best():
     import itertools
 
