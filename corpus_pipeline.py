@@ -11,7 +11,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmatch.llm import language, packing, pii, repeats, simhash
+from kinmatch.llm import language, packing, pii, repeats, simhash_copies
 from kinmatch.llm.common import read_table, shared_folder
 from kinmatch.llm.queries import pii_key
 
@@ -22,8 +22,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies by five-word shingles, the document with the smallest id stays."""
-    classes = simhash.near_duplicates(docs, words_per_shingle=5)
+    """Of each class of texts whose five-word shingles have a similarity of 0.8 or more, the smallest id stays."""
+    classes = simhash_copies.near_copies(docs, similarity=0.8, words_per_shingle=5)
     stay = classes.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
