@@ -7,7 +7,7 @@ shingles must be within the similarity of each other too, so buckets of that num
 
 Groups of copies: equal texts are one node. Nodes that share a part are linked to the least and greatest one there where a
 256-bit fingerprint leaves no doubt, which makes components of crowds without pairs. Probes then compare only nodes of
-unlike components: the largest component of a probed value meets the others there but not itself. Links that the long
+unlike components: those of large components meet others, but not their own. Links that the long
 fingerprint leaves open are checked on the texts.
 
 Defined results: null and blank texts are equal to each other and near nothing else; a text of fewer words than a shingle
@@ -33,6 +33,8 @@ from kinmatch.llm.simhash import _signed, allot, bit_statistics, group_bits, maj
 LONG_WORDS = 4
 #: What one comparison costs, in rows dealt.
 COMPARISON = 0.05
+#: Nodes of a component beyond which its nodes no longer meet each other in a cell.
+LARGE = 24
 FEATURES = "fp bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint, n bigint"
 
 
@@ -84,6 +86,10 @@ def plan(n: int, both: np.ndarray, most: int) -> list[tuple[list[int], int]]:
     return min(found)[2]
 
 
+def _bucket(similarity: float) -> F.Column:
+    return F.floor(F.log(F.greatest("n", F.lit(1))) / log(1 / similarity))
+
+
 def _dealt(rows: DataFrame, probes: list[tuple[int, list[int], int, int]], similarity: float) -> DataFrame:
     """Rows with each cell they stand or ask at; probes: (part, bits, radius, shift of the bucket)."""
     cells = []
@@ -92,8 +98,7 @@ def _dealt(rows: DataFrame, probes: list[tuple[int, list[int], int, int]], simil
         for r in range(radius + 1):
             cells += [(part, mask, _signed(sum(1 << b for b in chosen)), shift) for chosen in combinations(bits, r)]
     literal = F.expr("array(" + ", ".join(f"named_struct('part', {p}, 'mask', {_long(m)}, 'flip', {_long(f)}, 'shift', {s})" for p, m, f, s in cells) + ")")
-    bucket = F.floor(F.log(F.greatest("n", F.lit(1))) / log(1 / similarity))
-    return rows.withColumn("p", F.explode(literal)).withColumn("cell", F.xxhash64("p.part", F.col("fp").bitwiseAND(F.col("p.mask")).bitwiseXOR(F.col("p.flip")), bucket + F.col("p.shift")))
+    return rows.withColumn("p", F.explode(literal)).withColumn("cell", F.xxhash64("p.part", F.col("fp").bitwiseAND(F.col("p.mask")).bitwiseXOR(F.col("p.flip")), _bucket(similarity) + F.col("p.shift")))
 
 
 def _long(x: int) -> str:
@@ -117,17 +122,39 @@ def _named(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.drop("component").join(classes, "node", "left").withColumn("component", F.coalesce("found", "node")).drop("found")
 
 
+def _own(rows: DataFrame, parts: list[tuple[list[int], int]], similarity: float) -> DataFrame:
+    return _dealt(rows, [(i, bits, e // 2, 0) for i, (bits, e) in enumerate(parts)], similarity).select("cell", "lane", "fp", "component")
+
+
+def _asks(rows: DataFrame, parts: list[tuple[list[int], int]], similarity: float) -> DataFrame:
+    probes = [(i, bits, e - e // 2, s) for i, (bits, e) in enumerate(parts) for s in (0, -1)]
+    return _dealt(rows, probes, similarity).select("cell", "lane", F.col("fp").alias("other_fp"), F.col("component").alias("other_component"))
+
+
 def _meetings(nodes: DataFrame, parts: list[tuple[list[int], int]], most: int, similarity: float) -> DataFrame:
     """Distinct pairs (a, b) of nodes of unlike components that a probe brings together within the distance."""
-    rows = nodes.select("node", "fp", "n", "component")
-    own = _dealt(rows, [(i, bits, e // 2, 0) for i, (bits, e) in enumerate(parts)], similarity).select("cell", "node", "fp", "component")
-    asks = _dealt(rows, [(i, bits, e - e // 2, s) for i, (bits, e) in enumerate(parts) for s in (0, -1)], similarity).select("cell", F.col("node").alias("other"), F.col("fp").alias("other_fp"), F.col("component").alias("other_component"))
-    # in a cell where a component has several nodes, those of the largest one ask only for nodes of others
-    largest = own.groupBy("cell", "component").agg(F.count("*").alias("k")).where("k > 1").groupBy("cell").agg(F.max(F.struct("k", "component")).getField("component").alias("main"))
-    own = own.join(largest, "cell", "left").withColumn("lane", F.explode(F.when(F.col("main").isNotNull() & (F.col("component") != F.col("main")), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    asks = asks.join(largest, "cell", "left").withColumn("lane", F.when(F.col("other_component") == F.col("main"), 1).otherwise(0)).drop("main")
+    sizes = nodes.groupBy("component").agg(F.count("*").alias("k"))
+    rows = cut_lineage(nodes.join(sizes, "component").select("fp", "n", "component", (F.col("k") > LARGE).alias("large")).distinct())
     near = (F.col("component") != F.col("other_component")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= most)
-    return own.join(asks, ["cell", "lane"]).where(near).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    # nodes of large components ask only for those of small ones (lane 1), which ask for all (lane 0)
+    buckets = rows.where("large").select(_bucket(similarity).alias("bucket")).distinct()  # logarithmic in the longest text
+    close = [r.bucket + s for r in buckets.collect() for s in (0, -1)]
+    two = ~F.col("large") & _bucket(similarity).isin(close)
+    own = _own(rows.withColumn("lane", F.explode(F.when(two, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))), parts, similarity)
+    asks = _asks(rows.withColumn("lane", F.col("large").cast("int")), parts, similarity)
+    found = own.join(asks, ["cell", "lane"]).where(near).select("fp", "other_fp")
+    # large components among each other: in cells with several of them, all but the largest there ask for all
+    large = rows.where("large").withColumn("lane", F.lit(0))
+    own, asks = _own(large, parts, similarity).drop("lane"), _asks(large, parts, similarity).drop("lane")
+    here = own.select("cell", "component").union(asks.select("cell", "other_component")).groupBy("cell", "component").agg(F.count("*").alias("k"))
+    mixed = here.groupBy("cell").agg(F.count("*").alias("components"), F.max(F.struct("k", "component")).getField("component").alias("main")).where("components > 1").select("cell", "main")
+    own = own.join(mixed, "cell").withColumn("lane", F.explode(F.when(F.col("component") != F.col("main"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    asks = asks.join(mixed, "cell").withColumn("lane", (F.col("other_component") == F.col("main")).cast("int")).drop("main")
+    found = found.union(own.join(asks, ["cell", "lane"]).where(near).select("fp", "other_fp"))
+    found = cut_lineage(found.select(F.least("fp", "other_fp").alias("x"), F.greatest("fp", "other_fp").alias("y")).distinct())
+    of = nodes.select("fp", "node", "component")
+    both = found.join(of.toDF("x", "a", "ca"), "x").join(of.toDF("y", "b", "cb"), "y").where("ca <> cb")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _checked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words_per_shingle: int, similarity: float) -> DataFrame:
