@@ -302,6 +302,19 @@ def test_lm(docs, empty):
     assert lm.language_scores(empty).count() == 0
 
 
+def test_lm_models_rare_pairs_of_a_large_corpus(spark):
+    # three of 130,000 tokens: less than any share that was once asked of a word
+    rows = [(i, "common words " * 20_000 if i < 3 else "seldom seen") for i in (0, 1, 2, 3, 4, 5)] + [(6, "seldom seen")]
+    held = "doc_id = 6"
+    for size in (1 << 20, 4000):
+        got = {r.doc_id: r for r in lm.language_scores(spark.createDataFrame(rows, "doc_id long, text string"), held_out=held, chunk_bytes=size).collect()}
+        n, v = 3 * 40_001 + 3 * 3, 5
+        uni = lambda c: (c + 1) / (n + v + 1)
+        begin, end = (3 - lm.DISCOUNT) / 6, (3 - lm.DISCOUNT) / 3
+        assert got[6].train_tokens == n and got[6].base_score == pytest.approx(math.log10(uni(3) * uni(3) * uni(6)))
+        assert got[6].score == got[3].score == pytest.approx(math.log10(begin * end * end))
+
+
 def test_packing(docs, empty):
     path, size = public_tokenizers.path("byte_bpe_50k.json"), 64
     library = Tokenizer.from_file(path)
