@@ -291,8 +291,8 @@ def location_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = pairs.address_df(pairs.forms(c))
     a = pairs.location_weights(q, df, c).select("country", F.col("id").alias("q"), F.col("places").alias("pq"))
     b = pairs.location_weights(c, df, c).select("country", F.col("id").alias("c"), F.col("places").alias("pc"))
-    same = a.join(b, "country").where(F.col("q") % 10 == F.col("c") % 10)
-    return same.select("country", "q", "c", F.round(pairs.location_agreement(F.col("pq"), F.col("pc")), 6).alias("agreement")).where("agreement > 0")
+    meet = a.select("country", "q", F.explode(F.map_keys("pq")).alias("t")).join(b.select("country", "c", F.explode(F.map_keys("pc")).alias("t")), ["country", "t"]).select("country", "q", "c").distinct()
+    return meet.join(a, ["country", "q"]).join(b, ["country", "c"]).select("country", "q", "c", F.round(pairs.location_agreement(F.col("pq"), F.col("pc")), 6).alias("agreement"))
 
 
 _S = f"with s as ({V.SCORED})"

@@ -122,3 +122,15 @@ def test_countries_are_never_named():
 
     code = "".join(p.read_text() for p in (Path(__file__).parent.parent / "kinmatch").rglob("*.py") if "llm" not in p.parts)
     assert not any(f'"{x}"' in code for x in ("US", "India", "France"))
+
+
+def test_location_agreement_returns_all_pairs(spark):
+    import __spark_entry__ as entry
+    from kinmatch.plans import views as V
+
+    sf = "/root/testdata/sf0.001"
+    q, c = V.parties(spark, sf)
+    places = lambda df: [(r.country, r.id, set(" ".join(r.address.split(",")[-2:]).split())) for r in df.collect() if "," in r.address]
+    want = {(k, i, j) for k, i, a in places(q) for m, j, b in places(c) if k == m and a & b}
+    got = {(r.country, r.q, r.c) for r in entry.queries()["location_agreement"](spark, sf).collect()}
+    assert any(i % 10 != j % 10 for _, i, j in want) and got == want
