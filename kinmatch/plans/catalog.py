@@ -181,9 +181,9 @@ def postings_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.postings(own, similarity.idf_table(c, own, 0.2)).select("country", "id", "feature", F.round("w", 9).alias("w"))
 
 
-def _party_hits(spark: SparkSession, sf_dir: str, depth: int = 20) -> DataFrame:
+def _party_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = V.parties(spark, sf_dir)
-    return similarity.channel_hits(q, c, [replace(similarity.CHANNELS[n], max_df=m) for n, m in (("name_ngram", 0.3), ("address", 0.2))], depth)
+    return similarity.channel_hits(q, c, [replace(similarity.CHANNELS[n], max_df=m) for n, m in (("name_ngram", 0.3), ("address", 0.2))])
 
 
 _HITS = f"with {_topk_ctes(V.PARTY_Q, V.PARTY_C, 'name_ngram', 0.3, 20, 'a_')}, {_topk_ctes(V.PARTY_Q, V.PARTY_C, 'address', 0.2, 20, 'b_')}, h as (select 0 ch, 1.0 weight, * from a_hits where rank0<20 union all select 1, 1.0, * from b_hits where rank0<20), fused as (select country, q, c, sum(weight/(20+rank0)) rrf, count(*) n_hit, min(rank0) best_rank from h group by all)"

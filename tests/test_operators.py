@@ -1,9 +1,11 @@
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from kinmatch.operators import decisions, learning, metrics, pairs, similarity, statistics
+from kinmatch.plans import catalog
 from kinmatch.sources import packages, tables
 
 
@@ -134,3 +136,27 @@ def test_location_agreement_returns_all_pairs(spark):
     want = {(k, i, j) for k, i, a in places(q) for m, j, b in places(c) if k == m and a & b}
     got = {(r.country, r.q, r.c) for r in entry.queries()["location_agreement"](spark, sf).collect()}
     assert any(i % 10 != j % 10 for _, i, j in want) and got == want
+
+
+def test_fusion_takes_candidates_beyond_the_twentieth(spark, tmp_path):
+    import collections
+
+    import __spark_entry__ as entry
+
+    suppliers, customers = [(1, "Alpha", 3)], [(1000 + i, f"Beta {i}", 3) for i in range(1, 3001)]
+    for name, p, rows in (("supplier", "s_supp", suppliers), ("customer", "c_cust", customers)):
+        spark.createDataFrame(rows, f"{p}key long, {p[:2]}name string, {p[:2]}nationkey int").write.parquet(str(tmp_path / f"{name}.parquet"))
+    q, c = catalog.V.parties(spark, str(tmp_path))
+    channels = [replace(similarity.CHANNELS[n], max_df=m) for n, m in (("name_ngram", 0.3), ("address", 0.2))]
+    shared = collections.Counter()
+    for ch in channels:
+        of_q, of_c = ({(r.id, r.feature) for r in similarity.features_of(x, ch).collect()} for x in (q, c))
+        df = collections.Counter(f for _, f in of_c)
+        hits = {i for i, f in of_c if (1, f) in of_q and df[f] <= max(2, int(ch.max_df * len(customers)))}
+        assert len(hits) <= ch.depth
+        shared.update(hits)
+    assert len(shared) > 20
+    got = {r.c: r.n_hit for r in entry.queries()["rrf_fusion"](spark, str(tmp_path)).collect()}
+    assert got == shared
+    ceiling = entry.queries()["union_ceiling"](spark, str(tmp_path)).first()
+    assert (ceiling.in_any, ceiling.in_both) == (len(shared), sum(n == 2 for n in shared.values()))
