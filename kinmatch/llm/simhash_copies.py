@@ -1,203 +1,140 @@
-"""Classes of near copies by shingle similarity, found through SimHash fingerprints and checked on the shingles.
+"""Classes of near copies by shingle similarity, found through shared rare shingles and checked on the shingles.
 
-Two texts are linked if the Jaccard similarity of their sets of shingles is high enough. Texts that similar differ in few
-bits of a fingerprint; the generalised pigeonhole of simhash.py finds the pairs within a Hamming distance, with two-sided
-probes: a part's threshold is shared out between the values that a fingerprint stands at and those it asks at. Numbers of
-shingles must be within the similarity of each other too, so buckets of that number are part of every probed value.
+Two texts are linked if the Jaccard similarity of their sets of shingles is high enough. If all sets are read in one
+order, two sets that similar share a shingle among the first n - ceil(similarity * n) + 1 of each, so every pair to link
+meets in the cell of such a shingle: none is missed. Any order will do; shingles that are common in a sample come last,
+which keeps cells small. What meets is compared on the texts, whether it is then linked or not.
 
-Groups of copies: equal texts are one node. Nodes that share a part are linked to the least and greatest one there where a
-256-bit fingerprint leaves no doubt, which makes components of crowds without pairs. Probes then compare only nodes of
-unlike components: those of large components meet others, but not their own. Links that the long
-fingerprint leaves open are checked on the texts.
+Groups of copies: texts with equal sets are one node. Nodes of a cell are first compared with the least and greatest
+node there, which makes components of crowds without pairs. Then only nodes of unlike components are compared, and in
+each cell the nodes of its largest component only answer.
 
 Defined results: null and blank texts are equal to each other and near nothing else; a text of fewer words than a shingle
-has one shingle. Every row gives a row. A pair whose fingerprints differ in more than the given bits is not seen: of pairs
-at 0.8 or more, 99 in 100 are within 14 of 64 bits in the synthetic documents.
+has one shingle. Every row gives a row. Shingles, and sets of them, are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import comb, log
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmatch.llm.common import cut_lineage, map_slices, written
 from kinmatch.llm.components import connected_components
-from kinmatch.llm.simhash import _signed, allot, bit_statistics, group_bits, majority, shingle_digests
-
-#: 64-bit words of the long fingerprint.
-LONG_WORDS = 4
-#: What one comparison costs, in rows dealt.
-COMPARISON = 0.05
-#: Nodes of a component beyond which its nodes no longer meet each other in a cell.
-LARGE = 24
-FEATURES = "fp bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint, n bigint"
-
-
-def features(text: str | None, words_per_shingle: int) -> tuple[np.ndarray, int]:
-    """The words of the fingerprint and the long fingerprint over distinct shingles, and how many those are."""
-    hashes = np.unique(shingle_digests(text, words_per_shingle).reshape(-1).view(">u8").astype(np.uint64))
-    mixed = np.empty((len(hashes), LONG_WORDS + 1), ">u8")
-    mixed[:, 0] = hashes
-    for word in range(1, LONG_WORDS + 1):
-        # a finaliser with good avalanche makes further words of one hash
-        x = hashes + np.uint64(word * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        mixed[:, word] = x ^ (x >> np.uint64(31))
-    return majority(mixed.view(np.uint8)).view(">u8").astype(np.int64, casting="unsafe"), len(hashes)
-
-
-def with_features(docs: DataFrame, words_per_shingle: int, keep_text: bool = False) -> DataFrame:
-    """(doc_id, fp, w0 ... w3, n, node) of docs (doc_id, text); node stands for the rest."""
+from kinmatch.llm.simhash import shingle_digests
 
-    def compute(part: pa.RecordBatch) -> pa.RecordBatch:
-        got = [features(x, words_per_shingle) for x in part.column("text").to_pylist()]
-        words = np.array([w for w, _ in got], np.int64).reshape(-1, LONG_WORDS + 1)
-        columns = [part.column("doc_id")] + [pa.array(words[:, i]) for i in range(LONG_WORDS + 1)] + [pa.array([n for _, n in got], pa.int64())]
-        return pa.record_batch(columns + [part.column("text")] * keep_text, names=["doc_id", "fp", "w0", "w1", "w2", "w3", "n"] + ["text"] * keep_text)
+#: A shingle is common if it is in this share of the sampled nodes and in so many of them, so a bounded number of them is.
+COMMON_SHARE, LEAST_COMMON = 5e-4, 8
+#: Nodes of the sample, in expectation.
+SAMPLE = 50_000
 
-    out = map_slices(docs, compute, "doc_id bigint, " + FEATURES + ", text string" * keep_text)
-    return out.withColumn("node", F.xxhash64("fp", "w0", "w1", "w2", "w3", "n"))
 
+def shingles(text: str | None, words_per_shingle: int) -> np.ndarray:
+    """Hashes of the distinct shingles, in order."""
+    return np.unique(shingle_digests(text, words_per_shingle).reshape(-1).view(">u8").astype(np.uint64))
 
-def ball(width: int, radius: int) -> int:
-    return sum(comb(width, r) for r in range(radius + 1)) if radius >= 0 else 0
 
+def with_node(docs: DataFrame, words_per_shingle: int) -> DataFrame:
+    """(doc_id, text, n, node) of docs (doc_id, text): how many shingles, and a number of the set of them."""
 
-def plan(n: int, both: np.ndarray, most: int) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of the parts to probe, of three to six parts: whichever deals and compares least."""
-    share = np.diag(both) / max(n, 1)
-    found = []
-    for parts in range(3, 7):
-        groups, costs = group_bits(n, both, parts), []
-        for bits in groups:
-            differing = np.zeros(len(bits) + 1)
-            differing[0] = 1
-            for p in 2 * share[bits] * (1 - share[bits]):
-                differing = differing * (1 - p) + np.append(0, differing[:-1]) * p
-            costs.append([0.0] + [n * (ball(len(bits), e // 2) + 2 * ball(len(bits), e - e // 2)) + COMPARISON * n * n / 2 * differing[: e + 1].sum() for e in range(5)])
-        if (cost := allot(costs, most - parts + 1))[0] < float("inf"):
-            found.append((cost[0], parts, [(g, e) for g, e in zip(groups, cost[1]) if e >= 0]))
-    return min(found)[2]
+    def compute(part: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(x, words_per_shingle) for x in part.column("text").to_pylist()]
+        node = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
+        return pa.record_batch([part.column("doc_id"), part.column("text"), pa.array([len(x) for x in sets], pa.int64()), pa.array(node)], names=["doc_id", "text", "n", "node"])
 
+    return map_slices(docs, compute, "doc_id bigint, text string, n bigint, node bigint")
 
-def _bucket(similarity: float) -> F.Column:
-    return F.floor(F.log(F.greatest("n", F.lit(1))) / log(1 / similarity))
 
+def _common(nodes: DataFrame, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, of the shingles that are common in a sample, and in how many of its nodes each is."""
+    share = min(1.0, SAMPLE / max(nodes.count(), 1))
+    sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_003)) < share * 1_000_003)
 
-def _dealt(rows: DataFrame, probes: list[tuple[int, list[int], int, int]], similarity: float) -> DataFrame:
-    """Rows with each cell they stand or ask at; probes: (part, bits, radius, shift of the bucket)."""
-    cells = []
-    for part, bits, radius, shift in probes:
-        mask = _signed(sum(1 << b for b in bits))
-        for r in range(radius + 1):
-            cells += [(part, mask, _signed(sum(1 << b for b in chosen)), shift) for chosen in combinations(bits, r)]
-    literal = F.expr("array(" + ", ".join(f"named_struct('part', {p}, 'mask', {_long(m)}, 'flip', {_long(f)}, 'shift', {s})" for p, m, f, s in cells) + ")")
-    return rows.withColumn("p", F.explode(literal)).withColumn("cell", F.xxhash64("p.part", F.col("fp").bitwiseAND(F.col("p.mask")).bitwiseXOR(F.col("p.flip")), _bucket(similarity) + F.col("p.shift")))
+    def explode(part: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.concatenate([shingles(x, words_per_shingle) for x in part.column("text").to_pylist()]).view(np.int64))], names=["cell"])
 
+    least = max(LEAST_COMMON, COMMON_SHARE * sample.count())
+    found = map_slices(sample, explode, "cell bigint").groupBy("cell").agg(F.count("*").alias("k")).where(F.col("k") >= least).toArrow()
+    cells, k = found.column("cell").to_numpy().astype(np.int64).view(np.uint64), found.column("k").to_numpy()
+    order = np.argsort(cells)
+    return cells[order], k[order]
 
-def _long(x: int) -> str:
-    return f"cast('{x}' as bigint)"
 
+def _cells(nodes: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
+    """(cell, node, n, at): the first shingles of each node that others have among theirs too, and their places."""
+    common = nodes.sparkSession.sparkContext.broadcast(_common(nodes, words_per_shingle))
 
-def _distance(a: str, b: str) -> F.Column:
-    return sum((F.bit_count(F.col(f"{a}.w{i}").bitwiseXOR(F.col(f"{b}.w{i}"))) for i in range(LONG_WORDS)), F.lit(0))
+    def first(part: pa.RecordBatch) -> pa.RecordBatch:
+        often, k = common.value
+        out = []
+        for text in part.column("text").to_pylist():
+            own = shingles(text, words_per_shingle)
+            if len(often):
+                place = np.minimum(np.searchsorted(often, own), len(often) - 1)
+                own = own[np.lexsort((own, np.where(often[place] == own, k[place], 0)))]
+            out.append(own[: len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1])
+        sizes = [len(x) for x in out]
+        at = np.concatenate([np.arange(x) for x in sizes]).astype(np.int32)
+        node, n = (np.repeat(part.column(c).to_numpy(), sizes) for c in ("node", "n"))
+        return pa.record_batch([pa.array(np.concatenate(out).view(np.int64)), pa.array(node), pa.array(n), pa.array(at)], names=["cell", "node", "n", "at"])
 
+    cells = map_slices(nodes.where("n > 0").select("node", "n", "text"), first, "cell bigint, node bigint, n bigint, at int")
+    return written(cells.withColumn("met", F.count("*").over(Window.partitionBy("cell"))).where("met > 1").drop("met"))
 
-def _bits_at(similarity: float, deviations: float) -> int:
-    """Bits of the long fingerprint in which sets of that similarity differ, and so many deviations more."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    bits = 64 * LONG_WORDS
-    return int(bits * share + deviations * np.sqrt(bits * share * (1 - share)))
 
+def _may(similarity: float) -> F.Column:
+    """Whether x and y can be similar enough by their sizes and, if this cell is the first that they share, its places."""
+    needed = similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    return (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6) & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= needed)
 
-def _named(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """nodes with the component that links (a, b) give them."""
-    classes = connected_components(links).withColumnRenamed("component", "found")
-    return nodes.drop("component").join(classes, "node", "left").withColumn("component", F.coalesce("found", "node")).drop("found")
-
-
-def _own(rows: DataFrame, parts: list[tuple[list[int], int]], similarity: float) -> DataFrame:
-    return _dealt(rows, [(i, bits, e // 2, 0) for i, (bits, e) in enumerate(parts)], similarity).select("cell", "lane", "fp", "component")
-
-
-def _asks(rows: DataFrame, parts: list[tuple[list[int], int]], similarity: float) -> DataFrame:
-    probes = [(i, bits, e - e // 2, s) for i, (bits, e) in enumerate(parts) for s in (0, -1)]
-    return _dealt(rows, probes, similarity).select("cell", "lane", F.col("fp").alias("other_fp"), F.col("component").alias("other_component"))
-
-
-def _meetings(nodes: DataFrame, parts: list[tuple[list[int], int]], most: int, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of unlike components that a probe brings together within the distance."""
-    sizes = nodes.groupBy("component").agg(F.count("*").alias("k"))
-    rows = cut_lineage(nodes.join(sizes, "component").select("fp", "n", "component", (F.col("k") > LARGE).alias("large")).distinct())
-    near = (F.col("component") != F.col("other_component")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= most)
-    # nodes of large components ask only for those of small ones (lane 1), which ask for all (lane 0)
-    buckets = rows.where("large").select(_bucket(similarity).alias("bucket")).distinct()  # logarithmic in the longest text
-    close = [r.bucket + s for r in buckets.collect() for s in (0, -1)]
-    two = ~F.col("large") & _bucket(similarity).isin(close)
-    own = _own(rows.withColumn("lane", F.explode(F.when(two, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))), parts, similarity)
-    asks = _asks(rows.withColumn("lane", F.col("large").cast("int")), parts, similarity)
-    found = own.join(asks, ["cell", "lane"]).where(near).select("fp", "other_fp")
-    # large components among each other: in cells with several of them, all but the largest there ask for all
-    large = rows.where("large").withColumn("lane", F.lit(0))
-    own, asks = _own(large, parts, similarity).drop("lane"), _asks(large, parts, similarity).drop("lane")
-    here = own.select("cell", "component").union(asks.select("cell", "other_component")).groupBy("cell", "component").agg(F.count("*").alias("k"))
-    mixed = here.groupBy("cell").agg(F.count("*").alias("components"), F.max(F.struct("k", "component")).getField("component").alias("main")).where("components > 1").select("cell", "main")
-    own = own.join(mixed, "cell").withColumn("lane", F.explode(F.when(F.col("component") != F.col("main"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    asks = asks.join(mixed, "cell").withColumn("lane", (F.col("other_component") == F.col("main")).cast("int")).drop("main")
-    found = found.union(own.join(asks, ["cell", "lane"]).where(near).select("fp", "other_fp"))
-    found = cut_lineage(found.select(F.least("fp", "other_fp").alias("x"), F.greatest("fp", "other_fp").alias("y")).distinct())
-    of = nodes.select("fp", "node", "component")
-    both = found.join(of.toDF("x", "a", "ca"), "x").join(of.toDF("y", "b", "cb"), "y").where("ca <> cb")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _checked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words_per_shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose texts' shingles are similar enough."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    least = nodes.join(ends, "node", "left_semi").select(F.col("least").alias("doc_id")).distinct()
-    texts = with_features(docs.join(least, "doc_id", "left_semi"), words_per_shingle, keep_text=True).select("node", "text").join(ends, "node", "left_semi").dropDuplicates(["node"])
+
+def _checked(pairs: DataFrame, nodes: DataFrame, words_per_shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingles are similar enough."""
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
         for x, y in zip(batch.column("text").to_pylist(), batch.column("text_b").to_pylist()):
-            p, q = (np.unique(shingle_digests(t, words_per_shingle).reshape(-1).view(">u8")) for t in (x, y))
+            p, q = shingles(x, words_per_shingle), shingles(y, words_per_shingle)
             shared = len(np.intersect1d(p, q, assume_unique=True))
             keep.append(shared > 0 and shared >= similarity * (len(p) + len(q) - shared) - 1e-9)
         return batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    both = pairs.join(texts.withColumnRenamed("node", "a"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text", "text_b")
-    return map_slices(both, compare, "a bigint, b bigint")
+    texts = nodes.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    both = pairs.join(nodes.select(F.col("node").alias("a"), "text"), "a").join(texts, "b").select("a", "b", "text", "text_b")
+    return written(map_slices(both, compare, "a bigint, b bigint"))
+
+
+def _named(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of all nodes, by links (a, b)."""
+    classes = connected_components(links)
+    return nodes.select("node").join(classes, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _distinct(pairs: DataFrame) -> DataFrame:
+    return cut_lineage(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, most: int = 14, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
     """(doc_id, component_id) of every row; component_id is the smallest doc_id that links reach."""
     docs = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
-    rows = cut_lineage(with_features(docs, words_per_shingle))
-    words = ["fp", *(f"w{i}" for i in range(LONG_WORDS))]
-    nodes = cut_lineage(rows.groupBy("node", *words, "n").agg(F.min("doc_id").alias("least")))
-    parts = plan(*bit_statistics(nodes), most)
-    clear = _bits_at(similarity, -3)
-    # crowds: nodes that share a part with the least and greatest node there, where the long fingerprint is clear
-    cells = _dealt(nodes, [(i, bits, 0, 0) for i, (bits, _) in enumerate(parts)], similarity).select("cell", F.struct("node", *words[1:]).alias("x"))
-    hubs = cells.groupBy("cell").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("k")).where("k > 1")
-    met = cells.join(hubs, "cell").select("x", F.explode(F.array("lo", "hi")).alias("y")).where((F.col("x.node") != F.col("y.node")) & (_distance("x", "y") <= clear))
-    links = written(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-    nodes = cut_lineage(_named(nodes, links))
-    # the rest: probes, then the long fingerprint, then the texts
-    whole = nodes.select(F.struct("node", "component", *words[1:]).alias("x"))
-    pairs = _meetings(nodes, parts, most, similarity).join(whole, F.col("a") == F.col("x.node")).join(whole.withColumnRenamed("x", "y"), F.col("b") == F.col("y.node"))
-    pairs = cut_lineage(pairs.select("a", "b", _distance("x", "y").alias("far")).where(f"far <= {_bits_at(similarity, 4)}"))
-    links = written(links.union(pairs.where(f"far <= {clear}").select("a", "b")))
-    nodes = cut_lineage(_named(nodes, links))
-    of = nodes.select("node", "component")
-    open_pairs = pairs.where(f"far > {clear}").join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").where("ca <> cb").select("a", "b")
-    checked = written(_checked(cut_lineage(open_pairs), nodes, docs, words_per_shingle, similarity))
-    nodes = cut_lineage(_named(nodes, links.union(checked)))
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "node").join(nodes.select("node", "component"), "node").join(least, "component").select("doc_id", "component_id")
+    rows = with_node(docs, words_per_shingle)
+    nodes = written(rows.groupBy("node", "n").agg(F.min("doc_id").alias("least"), F.first("text").alias("text")))
+    cells = _cells(nodes, similarity, words_per_shingle)
+    # crowds: all nodes of a cell against the least and greatest one there
+    one = F.struct("node", "n", "at")
+    of_cell = Window.partitionBy("cell")
+    hubs = cells.select(one.alias("x"), F.min(one).over(of_cell).alias("lo"), F.max(one).over(of_cell).alias("hi")).select("x", F.explode(F.array("lo", "hi")).alias("y"))
+    links = _checked(_distinct(hubs.where(F.col("x.node") != F.col("y.node")).where(_may(similarity))), nodes, words_per_shingle, similarity)
+    # the rest: in cells with several components, all but the largest there against all
+    placed = cut_lineage(cells.join(_named(nodes, links), "node"))
+    sizes = placed.groupBy("cell", "component").agg(F.count("*").alias("k"))
+    mixed = sizes.groupBy("cell").agg(F.count("*").alias("components"), F.max(F.struct("k", "component")).getField("component").alias("main")).where("components > 1").select("cell", "main")
+    placed = placed.join(mixed, "cell").select("cell", "main", F.struct("node", "n", "at", "component").alias("x"))
+    asks = placed.where("x.component <> main").select("cell", "x")
+    met = asks.join(placed.select("cell", F.col("x").alias("y")), "cell").where("x.component <> y.component").where(_may(similarity))
+    links = links.union(_checked(_distinct(met), nodes, words_per_shingle, similarity))
+    named = nodes.join(_named(nodes, links), "node").select("node", "least", "component")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "node").join(cut_lineage(named.join(least, "component").select("node", "component_id")), "node").select("doc_id", "component_id")

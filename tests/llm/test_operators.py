@@ -265,6 +265,25 @@ def test_near_copies(spark, docs, empty):
     assert simhash_copies.near_copies(empty).count() == 0 and simhash_copies.near_copies(docs).count() == len(ROWS)
 
 
+def test_near_copies_finds_all_links(spark):
+    words = [f"v{i}" for i in range(5000)]
+    texts = []
+    # pairs at the bound: a changed last word leaves n - 1 of n + 1 shingles, eight words against nine 4 of 5
+    for _ in range(300):
+        base = rng.choices(words, k=8)
+        texts += [" ".join(base), " ".join([*base, rng.choice(words)])]
+    for _ in range(60):
+        base = rng.choices(words, k=rng.randint(160, 360))
+        copy = base + rng.choices(words, k=(len(base) - 4) // 4)
+        texts += [" ".join(base), " ".join(copy)]
+    got = {r.doc_id: r.component_id for r in simhash_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+    # just below the bound
+    base = rng.choices(words, k=8)
+    rows = [(0, " ".join(base)), (1, " ".join(base + rng.choices(words, k=2)))]
+    assert {r.component_id for r in simhash_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0, 1}
+
+
 def test_allotment_is_best():
     import itertools
 
