@@ -33,7 +33,7 @@ KINDS = ("card", "iban", "ip", "phone", "ssn", "date", "email", "secret")
 _DAY0, _DAYS = date(1900, 1, 1), (date(2099, 12, 31) - date(1900, 1, 1)).days + 1
 
 #: A text without any of these has nothing to find: every kind holds a digit, an @ or an assignment.
-_MAYBE = re.compile(r"[0-9@]|(?i:password|passwd|secret|token|api[_-]?key)")
+_MAYBE = re.compile(r"[0-9@]|(?i:password|passwd|pwd|secret|token|api[_-]?key|AKIA|ASIA)")
 _FIND = re.compile(
     r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<assigned>(?i:\b(?:access[_-]?token|auth[_-]?token|api[_-]?key|apikey|token|secret|password|passwd|pwd)\b\s?[:=]\s?[\"']?))(?P<secret>[A-Za-z0-9+/_-]{8,})"
