@@ -27,7 +27,7 @@ CACHE_WORDS = 300_000
 
 
 def rank_file_pieces(path: str) -> tuple[set[bytes], set[bytes]]:
-    """Pieces from a file of base64 tokens and ranks: tokens with a leading space begin words, others continue them."""
+    """Pieces from a file of base64 tokens and ranks: tokens with a leading space and single bytes begin words, others continue them."""
     begin, inside = set(), set()
     with open(path, "rb") as lines:
         for line in lines:
@@ -37,6 +37,8 @@ def rank_file_pieces(path: str) -> tuple[set[bytes], set[bytes]]:
                     begin.add(token[1:])
             else:
                 inside.add(token)
+                if len(token) == 1:
+                    begin.add(token)
     return begin, inside
 
 

@@ -60,6 +60,16 @@ def test_token_counts(docs, empty):
     assert tokens.token_counts(empty, path).count() == 0
 
 
+def test_token_counts_cover_words_of_any_first_byte(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = [(0, "рука"), (1, "한국어"), (2, "䀀" * 50), (3, "the")]
+    got = {r.doc_id: (r.n_words, r.n_tokens, r.n_unknown) for r in tokens.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    assert all(n[0] == 1 and n[2] == 0 for n in got.values()) and got[3] == (1, 1, 0)
+    assert got[0][1] > 1 and got[1][1] > 1 and got[2][1] >= 50
+    counter = tokens.PieceCounter(*tokens.rank_file_pieces(path))
+    assert all(counter.count(bytes([b])) == 1 for b in range(256) if b != 32)
+
+
 def test_piece_counter_against_greedy():
     for _ in range(300):
         begin, inside = ({bytes(rng.choices(b"abc", k=rng.randint(1, 4))) for _ in range(6)} for _ in range(2))
