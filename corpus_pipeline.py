@@ -22,10 +22,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of texts whose five-word shingles have a similarity of 0.8 or more, the smallest id stays."""
-    classes = simhash_copies.near_copies(docs, similarity=0.8, words_per_shingle=5)
-    stay = classes.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    """Of each class of texts whose five-word shingles have a similarity of 0.8 or more, one with the smallest id stays.
+
+    Rows are told apart by their texts, not their ids: of a class with null ids only, one stays; of unlike texts under
+    one id, each goes or stays by its own class.
+    """
+    return simhash_copies.first_copies(docs, similarity=0.8, words_per_shingle=5)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

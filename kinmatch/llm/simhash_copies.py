@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import cut_lineage, map_slices, written
+from kinmatch.llm.common import cut_lineage, map_slices, table_schema, written
 from kinmatch.llm.components import connected_components
 from kinmatch.llm.simhash import shingle_digests
 
@@ -116,10 +116,8 @@ def _distinct(pairs: DataFrame) -> DataFrame:
     return cut_lineage(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
-    """(doc_id, component_id) of every row; component_id is the smallest doc_id that links reach."""
-    docs = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
-    rows = with_node(docs, words_per_shingle)
+def _classes(rows: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
+    """(node, least, component) of the nodes of rows; least is the smallest doc_id of a node, if any."""
     nodes = written(rows.groupBy("node", "n").agg(F.min("doc_id").alias("least"), F.first("text").alias("text")))
     cells = _cells(nodes, similarity, words_per_shingle)
     # crowds: all nodes of a cell against the least and greatest one there
@@ -135,6 +133,25 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
     asks = placed.where("x.component <> main").select("cell", "x")
     met = asks.join(placed.select("cell", F.col("x").alias("y")), "cell").where("x.component <> y.component").where(_may(similarity))
     links = links.union(_checked(_distinct(met), nodes, words_per_shingle, similarity))
-    named = nodes.join(_named(nodes, links), "node").select("node", "least", "component")
+    return cut_lineage(nodes.join(_named(nodes, links), "node").select("node", "least", "component"))
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
+    """(doc_id, component_id) of every row; component_id is the smallest doc_id that links reach."""
+    rows = with_node(docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text"), words_per_shingle)
+    named = _classes(rows, similarity, words_per_shingle)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "node").join(cut_lineage(named.join(least, "component").select("node", "component_id")), "node").select("doc_id", "component_id")
+    return rows.select("doc_id", "node").join(named.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def first_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
+    """One row of each class, all columns kept: a text with the smallest doc_id, or any if the class has null ids only."""
+    named = _classes(with_node(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), words_per_shingle), similarity, words_per_shingle)
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("x")).select("x.node", "x.least")
+
+    def number(part: pa.RecordBatch) -> pa.RecordBatch:
+        node = [xxhash.xxh64_intdigest(shingles(x, words_per_shingle).tobytes(), 42) for x in part.column("text").to_pylist()]
+        return part.append_column("node", pa.array(np.array(node, np.uint64).view(np.int64)))
+
+    kept = map_slices(docs, number, table_schema(docs, "node bigint")).join(first, "node").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    return kept.dropDuplicates(["node"]).select(docs.columns)

@@ -294,6 +294,16 @@ def test_near_copies_finds_all_links(spark):
     assert {r.component_id for r in simhash_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0, 1}
 
 
+def test_near_dedup_keeps_rows_by_text(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(rng.choices([f"u{i}" for i in range(3000)], k=60)) for _ in range(4))
+    # a null id alone and twice; id 5 has a text of its own and a copy of one under 2
+    rows = [(None, a), (None, b), (None, b), (2, c), (5, c), (5, d)]
+    out = corpus_pipeline.simhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, [(None, a), (None, b), (2, c), (5, d)]))
+
+
 def test_allotment_is_best():
     import itertools
 
