@@ -36,15 +36,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Compressed tables in the shared folder, for results that are used more than once."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, {}
+
+    def written(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.tables[path] = self.spark.read.schema(df.schema).parquet(path)
+        return out
+
+    def drop_others(self, *kept: DataFrame) -> None:
+        """Deletes all tables written but these."""
+        sc = self.spark.sparkContext
+        for path in [p for p, table in self.tables.items() if not any(table is x for x in kept)]:
+            del self.tables[path]
+            folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The frame as a compressed table in the shared folder, read again: for results that are used more than once."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    # shuffle files that only the write needed go once the driver's collector has seen that nothing refers to them
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).written(df)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -2,46 +2,60 @@
 
 A text is read as UTF-8 bytes. A byte goes if a string of `length` bytes that covers it also starts earlier.
 
-Where a string of that length can repeat is found first, exactly: of the short strings inside it the one with the
-smallest hash is its anchor, so equal strings have equal anchors at equal distances. Only stretches around anchors that
-occur more than once are cut out as segments; equal segments are one, and all but the first go. Segments that share an
-anchor and half of what surrounds it, but are not equal, form a collection. Its suffixes are sorted by rounds: round j puts the j-th last symbol of every
-segment in front of the suffixes placed in the round before, whose new places follow from the ranks of these symbols in
-the Burrows-Wheeler transform so far; the lengths of common prefixes grow with it, each from the least one between the
-two parents' places. Runs of common prefixes of full length are equal strings, of which all but the first go.
-
-Whole copies of a text are told by their digest and go at once. An anchor with very many unequal segments is dealt to
-several collections; their strings then meet by digest in an aggregation. So no task holds more than a bounded
-collection, whatever a passage's frequency. Collections are small enough to stay in memory, so the sequential files of
-the external construction are arrays here, rewritten once a round in the same way.
-
-Defined results: a null text is empty. Texts shorter than the length lose nothing. Rows that repeat a doc_id with the
-same text are one document, with a row each. A doc_id should not stand for unlike texts; where it does, the text with
-the smallest digest is the document, and its other texts are left as they are and do not count as earlier ones.
+Where such strings can repeat is found first, exactly: of the short strings inside each the one with the smallest hash is
+its anchor, so equal strings have equal anchors at equal distances. Documents lie in chunks; a chunk asks which of its
+anchors occur elsewhere (exchange.py), and only there cuts segments: the bytes of all strings round one place that share
+an anchor. Equal segments are pre-aggregated to the first of them. A segment's strings are dealt to cells by how far the
+anchor lies inside them: all of a range of distances hold a common core, and the core's hash is the cell. A cell that has
+one segment only is done with; one with more than CROWDED segments is split by halving its range, which makes its cores
+longer, and its now shorter segments are pre-aggregated again, until at one distance the core is the string itself. So
+no cell is ever crowded, however frequent a passage is, and none is dropped.
+
+All other cells are put together to collections of bounded size, each sorted in one task: round j puts the j-th last
+symbol of every segment in front of the suffixes placed in the round before, whose new places follow from the ranks of
+these symbols in the Burrows-Wheeler transform so far; the lengths of common prefixes grow with it, each from the least
+one between the two parents' places. Runs of common prefixes of full length are equal strings, of which the first stays.
+A collection fits into memory, so the sequential files of the external construction are arrays here: each round reads
+the transform and the prefixes of the round before from begin to end and writes them anew.
+
+Defined results: a null text is empty, and stays null where texts are returned. Texts shorter than the length lose
+nothing. Rows that repeat a doc_id with the same text are one document, with a row each. Texts under one doc_id that are
+not alike are documents of their own, in the order of their SHA-256; rows without a doc_id come after all others. A text
+of any length is read whole. Columns of any name are kept. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import map_slices, written
+from kinmatch.llm import exchange as ex
+from kinmatch.llm.common import Scratch, shuffle_partitions, table_schema, text_slices
 
 #: Length of the strings by whose hash anchors are chosen, for repeats of LENGTH bytes.
-LENGTH, GRAM = 100, 32
-#: Segments in a collection, in expectation, and of one anchor before it is dealt to several.
-COLLECTION, CROWDED = 600, 600
+LENGTH, GRAM = 100, 64
+#: Segments in a collection, in expectation, and in a cell before it is split.
+COLLECTION, CROWDED = 1500, 1000
+#: Bytes of text, in expectation, whose anchors a bucket of questions sees.
+BUCKET_BYTES = 16 << 20
 _BLOCK = 1 << 19
 _RNG = np.random.default_rng(20240501)
 _BYTE_HASH = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Keys that only say where to look are cut to their first 48 bits.
+_SHORT = ~np.uint64(0xFFFF)
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+CHUNK = "chunk bigint, n_bytes bigint, ids binary, digests binary, sizes binary, payload binary"
+RANGES = "chunk bigint, ranges binary"
 
 
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -188,184 +202,393 @@ def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return doc[first], start[first], start[last] - start[first] + 1
 
 
-def _cover(n_bytes: int, ranges, length: int) -> np.ndarray:
+def _cover(n_bytes: int, start: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
     """Mask of the bytes that strings starting in ranges (start, n) cover."""
     edge = np.zeros(n_bytes + 1, np.int32)
-    if ranges:
-        start, n = np.array(ranges, np.int64).T
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + n + length - 1, -1)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + n + length - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def _ranges_of(column, at: int) -> list[tuple[int, int]]:
-    return [(x["start"], x["n"]) for x in column[at].as_py() or ()]
+class Places:
+    """The documents of a chunk in the order of documents: id, then the beginning of the digest for unlike texts of one id."""
 
+    def __init__(self, row: dict):
+        self.id = ex.unpack(row["ids"])
+        self.digests = [row["digests"][at : at + 32] for at in range(0, len(row["digests"]), 32)]
+        self.tag = np.frombuffer(row["digests"], ">u4")[::8].astype(np.uint32)
+        self.size = ex.unpack(row["sizes"])
+        known: dict = {}
+        #: of each row the first in the chunk with its id and text
+        self.same = np.array([known.setdefault(x, at) for at, x in enumerate(zip(self.id.tolist(), self.digests))], np.int64)
 
-def repeat_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, collection: int = COLLECTION, crowded: int = CROWDED) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs: doc_id, text. Returns
+    def whole(self, length: int) -> tuple[np.ndarray, ex.FirstAsk]:
+        """Documents of at least the length, one row of each, and the question which of them are the first of their text."""
+        at = np.flatnonzero((self.size >= length) & (self.same == np.arange(len(self.size))))
+        words = np.frombuffer(b"".join(self.digests), ">u8").reshape(-1, 4)[at].astype(np.uint64)
+        return at, ex.FirstAsk(words[:, 0], (words[:, 1] >> np.uint64(32)).astype(np.uint32), self.id[at])
 
-    whole: (doc_id, digest, n_bytes, copy) of every distinct row; copy: another document has the text and comes first;
-    texts: (doc_id, packed) of documents with an anchor that occurs more than once; packed is compressed;
-    ranges: (doc_id, start, n): strings of the length that start in these ranges also start earlier.
+
+def chunks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of CHUNK: about 8 MB of documents each, whole rows packed as they are."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        number = (task.partitionId() if task else 0) << 32
+        for part in text_slices(batches, text_col):
+            texts = [(x or "").encode() for x in part.column(text_col).to_pylist()]
+            ids = pc.fill_null(part.column(id_col).cast(pa.int64()), 2**63 - 1).to_numpy(zero_copy_only=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+                out.write_batch(part)
+            digests = b"".join(hashlib.sha256(x).digest() for x in texts)
+            sizes = np.array([len(x) for x in texts], np.int64)
+            packed = (ex.pack(ids), digests, ex.pack(sizes), sink.getvalue().to_pybytes())
+            yield pa.record_batch([pa.array([x], pa.int64()) for x in (number, int(sizes.sum()))] + [pa.array([x], pa.binary()) for x in packed], names=["chunk", "n_bytes", "ids", "digests", "sizes", "payload"])
+            number += 1
+
+    return docs.mapInArrow(run, CHUNK)
+
+
+def _rows(payload: bytes) -> pa.RecordBatch:
+    """The documents of a chunk. Buffers copied: the rows may outlive the message."""
+    return pa.ipc.open_stream(payload).read_next_batch()
+
+
+def _per_chunk(fn):
+    """fn(row of the chunk) -> record batches, over rows that are chunks."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                yield from fn(batch.slice(at, 1).to_pylist()[0])
+
+    return run
+
+
+def _with_answers(table: DataFrame, answers: DataFrame, fn, schema: str) -> DataFrame:
+    """fn(row of the chunk, what came back to it) -> table of the schema."""
+    names = [x.split()[0].strip("`") for x in schema.split(", ")]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            raise ValueError("answers for a chunk that is not there")
+        out = fn(left.to_pylist()[0], right)
+        return out if isinstance(out, pa.Table) else pa.table({c: pa.array([x]) for c, x in zip(names, out)})
+
+    return table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def _texts(rows: pa.RecordBatch, text_col: str) -> list[bytes]:
+    return [(x or "").encode() for x in rows.column(text_col).to_pylist()]
+
+
+class Segments:
+    """Stretches of strings round anchors, with the bytes they lie in.
+
+    data: regions one after the other; doc, id, tag, shift: of each region, its document in the chunk and what must be
+    added to a place in data for the place in the document; region, anchor, lo, hi: of each segment, the place of the
+    anchor in data and the least and greatest distance of it from a string's start; cell_lo, cell_hi: the range that
+    the segment belongs to.
     """
+
+    FIELDS = ("doc", "id", "tag", "shift", "region", "anchor", "lo", "hi", "cell_lo", "cell_hi")
+
+    def __init__(self, data: bytes, **fields: np.ndarray):
+        self.data = data
+        self.__dict__.update(fields)
+
+    def packed(self) -> bytes:
+        """The bytes compressed, and only those of the regions that segments lie in."""
+        used, region = np.unique(self.region, return_inverse=True)
+        begin, end = self._bounds()
+        size = (end - begin)[used]
+        moved = (np.cumsum(size) - size) - begin[used]
+        data = b"".join(self.data[a:b] for a, b in zip(begin[used].tolist(), end[used].tolist()))
+        kept = {"doc": self.doc[used], "id": self.id[used], "tag": self.tag[used], "shift": self.shift[used] - moved, "region": region, "anchor": self.anchor + moved[region]}
+        rest = [kept.get(x, getattr(self, x)) for x in self.FIELDS]
+        return ex.pack_all([np.frombuffer(zstandard.ZstdCompressor(level=3).compress(data), np.uint8), *(x.astype(np.int64) if x.dtype != np.uint32 else x for x in rest), begin[used] + moved])
+
+    @classmethod
+    def unpacked(cls, packed: bytes) -> Segments:
+        data, *rest, begin = ex.unpack_all(packed)
+        out = cls(zstandard.ZstdDecompressor().decompress(data.tobytes()), **dict(zip(cls.FIELDS, rest)))
+        out.begin = begin
+        return out
+
+    def _bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.begin, np.append(self.begin[1:], len(self.data))
+
+    def cut(self, which: np.ndarray) -> Segments:
+        """The segments of a mask or of numbers, over the same bytes."""
+        out = Segments(self.data, **{x: getattr(self, x)[which] if x in self.FIELDS[4:] else getattr(self, x) for x in self.FIELDS})
+        out.begin = self.begin
+        return out
+
+    def in_cells(self, ranges: Iterable[tuple[np.ndarray, np.ndarray]]) -> Segments:
+        """The parts of each segment that lie in its ranges of distances."""
+        parts = []
+        for cell_lo, cell_hi in ranges:
+            lo, hi = np.maximum(self.lo, cell_lo), np.minimum(self.hi, cell_hi)
+            part = self.cut(lo <= hi)
+            keep = lo <= hi
+            part.lo, part.hi, part.cell_lo, part.cell_hi = lo[keep], hi[keep], np.broadcast_to(cell_lo, lo.shape)[keep], np.broadcast_to(cell_hi, lo.shape)[keep]
+            parts.append(part)
+        out = parts[0].cut(slice(0, 0))
+        for x in self.FIELDS[4:]:
+            setattr(out, x, np.concatenate([getattr(p, x) for p in parts]))
+        return out
+
+    def __len__(self) -> int:
+        return len(self.region)
+
+    @property
+    def start(self) -> np.ndarray:
+        """First start of a segment's strings in its document."""
+        return self.anchor - self.hi + self.shift[self.region]
+
+    def bytes_of(self, length: int) -> list[bytes]:
+        """The bytes that the strings of each segment cover."""
+        begin, end = self.anchor - self.hi, self.anchor - self.lo + length
+        return [self.data[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+
+    def first_ask(self, length: int) -> ex.FirstAsk:
+        """Which segments are the first with their bytes. Equal bytes have their anchors alike."""
+        told = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in self.bytes_of(length)), ">u8").reshape(-1, 2).astype(np.uint64)
+        return ex.FirstAsk(told[:, 0] ^ self.cell_lo.astype(np.uint64), (told[:, 1] >> np.uint64(32)).astype(np.uint32), self.id[self.region], self.tag[self.region], self.start)
+
+    def cells(self, length: int) -> np.ndarray:
+        """A number for the range and the core of each segment."""
+        begin, end = self.anchor - self.cell_lo, self.anchor - self.cell_hi + length
+        core = (xxhash.xxh64_intdigest(self.data[a:b], s) for a, b, s in zip(begin.tolist(), end.tolist(), (self.cell_lo * 256 + self.cell_hi).tolist()))
+        return np.fromiter(core, np.uint64, len(self)) & _SHORT
+
+    def ranges(self) -> list[np.ndarray]:
+        """(document in the chunk, first start, number of starts) of the strings."""
+        return [self.doc[self.region], self.start, self.hi - self.lo + 1]
+
+
+def _chunk_anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
+    found = [*text_anchors(texts, length, gram)]
+    doc, h, start, n = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
+    return doc, h.astype(np.int64).view(np.uint64) & _SHORT, start, n % 256, n // 256
+
+
+def _candidates(texts: list[bytes], places: Places, doc, start, n, away, length: int) -> Segments:
+    """Segments at the anchors given, over regions that join where they overlap."""
+    end = start + n + length - 1
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > np.maximum.accumulate(end + (doc << 40))[:-1] - (doc[1:] << 40))
+    region = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    last = np.maximum.reduceat(end, first) if len(first) else end
+    at, begin = doc[first], start[first]
+    size = last - begin
+    base = np.cumsum(size) - size
+    data = b"".join(texts[d][a:b] for d, a, b in zip(at.tolist(), begin.tolist(), last.tolist()))
+    out = Segments(data, doc=at, id=places.id[at], tag=places.tag[at], shift=begin - base, region=region, anchor=start + away - (begin - base)[region], lo=away - n + 1, hi=away, cell_lo=np.zeros_like(away), cell_hi=np.zeros_like(away))
+    out.begin = base
+    return out
+
+
+def repeat_ranges(chunks: DataFrame, scratch: Scratch, text_col: str, length: int, gram: int, collection: int, crowded: int) -> tuple[DataFrame, DataFrame]:
+    """Of written rows of CHUNK: (answers which texts are the first alike, RANGES of the strings that also start earlier)."""
     if gram & (gram - 1) or gram > length or length > 255:
         raise ValueError("gram must be a power of two of at most length, and length at most 255")
-    told = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes")).groupBy("doc_id", "digest").agg(F.first("n_bytes").alias("n_bytes"))
-    own = told.groupBy("doc_id").agg(F.min(F.struct("digest", "n_bytes")).alias("x")).select("doc_id", "x.*")
-    first = own.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    whole = written(own.join(first, "digest").select("doc_id", "digest", "n_bytes", (F.col("first_id") < F.col("doc_id")).alias("copy")))
-    readable = whole.where(f"not copy and n_bytes >= {length}").select("doc_id", "digest")
-
-    def find(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        ids = part.column("doc_id").to_numpy()
-        found = [(ids[owner], h, start, n) for owner, h, start, n in text_anchors([(x or "").encode() for x in part.column("text").to_pylist()], length, gram)]
-        doc, h, start, n = (np.concatenate(x) for x in zip(*found))
-        return pa.record_batch([pa.array(h), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["h", "doc_id", "start", "n"])
-
-    all_anchors = map_slices(docs.where(F.octet_length("text") >= length), find, "h bigint, doc_id bigint, start int, n int")
-    often = all_anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    once = written(all_anchors.join(often, "h").join(readable.select("doc_id"), "doc_id", "left_semi"))
-    # copies are gone now: those still met more than once
-    again = once.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    of_doc = once.join(again, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "n")).alias("anchors"))
-
-    def compress(part: pa.RecordBatch) -> pa.RecordBatch:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        texts = [x.encode() for x in part.column("text").to_pylist()]
-        return pa.record_batch([part.column("doc_id"), pa.array([hashlib.sha256(x).hexdigest() for x in texts]), pa.array([pack(x) for x in texts], pa.binary())], names=["doc_id", "digest", "packed"])
-
-    packed = map_slices(docs.where(F.octet_length("text") >= length), compress, "doc_id bigint, digest string, packed binary")
-    texts = written(packed.join(of_doc.join(readable, "doc_id"), ["doc_id", "digest"]).dropDuplicates(["doc_id"]))
-
-    side = (length - gram) // 2
-
-    def hash_bytes(data: bytes) -> int:
-        return xxhash.xxh64_intdigest(data) - (1 << 63)
-
-    def cut(full: bool):
-        def run(batches):
-            unpack, mark = zstandard.ZstdDecompressor().decompress, xxhash.xxh3_128_digest
-            for batch in batches:
-                found = batch.column("anchors")
-                h, first, span = (found.flatten().field(x).to_numpy() for x in ("h", "start", "n"))
-                per_doc = found.value_lengths().to_numpy()
-                ends = np.cumsum(per_doc)
-                n, away = span % 256, span // 256
-                digests, segments, before, after = [], [], [], []
-                for data, lo, hi in zip(batch.column("packed"), (ends - per_doc).tolist(), ends.tolist()):
-                    data = unpack(data.as_py())
-                    begin = first[lo:hi]
-                    cuts = [data[a:b] for a, b in zip(begin.tolist(), (begin + n[lo:hi] + length - 1).tolist())]
-                    digests += map(mark, cuts)
-                    if full:
-                        segments += cuts
-                        before += [hash_bytes(x[at - side : at]) if at >= side else None for x, at in zip(cuts, away[lo:hi].tolist())]
-                        after += [hash_bytes(x[at : at + side]) if at + side <= len(x) else None for x, at in zip(cuts, (away[lo:hi] + gram).tolist())]
-                doc = np.repeat(batch.column("doc_id").to_numpy(), per_doc)
-                cols = {"h": pa.array(h), "digest": pa.array(digests, pa.binary()), "doc_id": pa.array(doc), "start": pa.array(first), "n": pa.array(n.astype(np.int32))}
-                if full:
-                    cols |= {"segment": pa.array(segments, pa.binary()), "before": pa.array(before, pa.int64()), "after": pa.array(after, pa.int64())}
-                yield pa.record_batch(list(cols.values()), names=list(cols))
-
-        return lambda batches: run(piece for batch in batches for at in range(0, batch.num_rows, 64) for piece in [batch.slice(at, 64)])
-
-    members = "h bigint, digest binary, doc_id bigint, start int, n int"
-    segments = texts.mapInArrow(cut(True), f"{members}, segment binary, before bigint, after bigint")
-    distinct = written(segments.groupBy("h", "digest").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.first("n").alias("n"), F.first("segment").alias("segment"), F.first("before").alias("before"), F.first("after").alias("after")))
-    later = texts.mapInArrow(cut(False), members).join(distinct.select("h", "digest", "at"), ["h", "digest"]).where("doc_id <> at.doc_id or start <> at.start").select("doc_id", "start", "n")
-
-    # a string round an anchor has `side` of its bytes before or behind it: only segments alike there can share one
-    alike = [distinct.where(f"{x} is not null").groupBy("h", x).agg(F.count("*").alias("c")).where("c > 1").select("h", x) for x in ("before", "after")]
-    met_before = distinct.join(alike[0], ["h", "before"], "left_semi").select(distinct.columns)
-    met_after = distinct.join(alike[1], ["h", "after"], "left_semi").select(distinct.columns)
-    able = met_before.union(met_after).dropDuplicates(["h", "digest"])
-    sizes = able.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    unequal = able.join(sizes, "h").withColumn("parts", F.ceil(F.col("c") / crowded).cast("int"))
-    n_unequal = sizes.agg(F.sum("c")).first()[0] or 0
-    collections = max(1, round(n_unequal / collection))
-    spread = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("digest"), F.col("parts"))).otherwise(F.lit(0))
-    dealt = unequal.select("h", F.col("at.doc_id").alias("doc_id"), F.col("at.start").alias("start"), "segment", (F.col("parts") > 1).alias("open"), F.pmod(F.xxhash64("h", spread), F.lit(collections)).alias("bucket"))
+    spark, wide = chunks.sparkSession, length - gram
+    size = chunks.select(F.sum("n_bytes")).first()[0] or 0
+    buckets = max(2 * shuffle_partitions(spark), size // BUCKET_BYTES, 1)
+
+    def ask_whole(row: dict):
+        at, ask = Places(row).whole(length)
+        if len(at):
+            yield ask.asks(row["chunk"], buckets)
+
+    no_payload = chunks.select("chunk", "ids", "digests", "sizes")
+    whole = scratch.written(ex.answered(no_payload.mapInArrow(_per_chunk(ask_whole), ex.ASKS), ex.is_first))
+
+    def ask_anchors(row: dict):
+        _, h, *_ = _chunk_anchors(_texts(_rows(row["payload"]), text_col), length, gram)
+        if len(h):
+            keys, n = np.unique(h, return_counts=True)
+            yield ex.asks(row["chunk"], buckets, keys, [np.minimum(n, 2).astype(np.uint8)])
+
+    often = ex.answered(chunks.select("chunk", "payload").mapInArrow(_per_chunk(ask_anchors), ex.ASKS), lambda keys, n: ex.totals(keys, n) > 1)
+
+    def candidates(row: dict, right: pa.Table):
+        texts, places = _texts(_rows(row["payload"]), text_col), Places(row)
+        is_text = np.array(right.column("is_text").to_pylist(), bool)
+        at, ask = places.whole(length)
+        read = np.zeros(len(texts), bool)
+        read[at] = ask.firsts(ex.answer_of(right.filter(pa.array(is_text)), bool))
+        doc, h, start, n, away = _chunk_anchors(texts, length, gram)
+        _, each = np.unique(h, return_inverse=True)
+        keep = ex.answer_of(right.filter(pa.array(~is_text)), bool).astype(bool)[each] & read[doc]
+        return row["chunk"], _candidates(texts, places, *(x[keep] for x in (doc, start, n, away)), length).packed()
+
+    told = often.withColumn("is_text", F.lit(False)).union(whole.withColumn("is_text", F.lit(True)))
+    segments = "chunk bigint, segments binary"
+    found = scratch.written(_with_answers(chunks, told, candidates, segments))
+
+    def first_only(table: DataFrame) -> DataFrame:
+        """The first of equal segments, and the ranges of the others."""
+
+        def ask(row: dict):
+            own = Segments.unpacked(row["segments"])
+            if len(own):
+                yield own.first_ask(length).asks(row["chunk"], buckets)
+
+        def keep(row: dict, right: pa.Table):
+            own = Segments.unpacked(row["segments"])
+            if not len(own):
+                return row["chunk"], row["segments"], ex.pack_all(own.ranges())
+            first = own.first_ask(length).firsts(ex.answer_of(right, bool))
+            return row["chunk"], own.cut(first).packed(), ex.pack_all(own.cut(~first).ranges())
+
+        return scratch.written(_with_answers(table, ex.answered(table.mapInArrow(_per_chunk(ask), ex.ASKS), ex.is_first), keep, f"{segments}, ranges binary"))
+
+    def in_cells(table: DataFrame, halve: bool) -> DataFrame:
+        """Segments of cells to sort and of crowded cells, and how many; those alone in their cell are done with."""
+
+        def dealt(row: dict) -> Segments:
+            own = Segments.unpacked(row["segments"])
+            return own if halve else own.in_cells([(0, wide // 2), (wide // 2 + 1, wide)])
+
+        def ask(row: dict):
+            own = dealt(row)
+            if len(own):
+                keys, n = np.unique(own.cells(length), return_counts=True)
+                yield ex.asks(row["chunk"], buckets, keys, [n.astype(np.uint32)])
+
+        def place(row: dict, right: pa.Table):
+            own = dealt(row)
+            if not len(own):
+                return row["chunk"], own.packed(), 0, own.packed(), 0
+            _, each = np.unique(own.cells(length), return_inverse=True)
+            n = ex.answer_of(right, np.uint32)[each]
+            # at one distance the segments of a cell are one string each, all first: rows of one document
+            many = (n > 1) & (own.cell_lo < own.cell_hi)
+            sort, split = own.cut(many & (n <= crowded)), own.cut(many & (n > crowded))
+            middle = (split.cell_lo + split.cell_hi) // 2
+            halves = split.in_cells([(split.cell_lo, middle), (middle + 1, split.cell_hi)])
+            return row["chunk"], sort.packed(), len(sort), halves.packed(), len(halves)
+
+        asked = ex.answered(table.mapInArrow(_per_chunk(ask), ex.ASKS), ex.totals)
+        return scratch.written(_with_answers(table, asked, place, "chunk bigint, sort binary, n_sort bigint, segments binary, n_split bigint"))
+
+    firsts = first_only(found)
+    scratch.drop_others(chunks, whole, firsts)
+    ranges, to_sort, halve = firsts.select("chunk", "ranges"), None, False
+    while True:
+        placed = in_cells(firsts.select("chunk", "segments"), halve)
+        to_sort = placed.select("chunk", "sort", "n_sort") if to_sort is None else to_sort.union(placed.select("chunk", "sort", "n_sort"))
+        if not placed.select(F.sum("n_split")).first()[0]:
+            break
+        firsts, halve = first_only(placed.select("chunk", "segments")), True
+        ranges = ranges.union(firsts.select("chunk", "ranges"))
+
+    collections = max(1, -(-(to_sort.select(F.sum("n_sort")).first()[0] or 0) // collection))
+
+    def deal(row: dict):
+        own = Segments.unpacked(row["sort"])
+        if not len(own):
+            return
+        to = (own.cells(length) >> np.uint64(16)) % np.uint64(collections)
+        order = np.argsort(to, kind="stable")
+        filled, begin = np.unique(to[order], return_index=True)
+        parts = [own.cut(x) for x in np.split(order, begin[1:])]
+        yield pa.record_batch([pa.array(filled.astype(np.int64)), pa.array(np.full(len(filled), row["chunk"], np.int64)), pa.array([_segment_rows(x, length) for x in parts], pa.binary())], names=["collection", "chunk", "segments"])
 
     def order(table: pa.Table) -> pa.Table:
-        """Ranges of later strings; of anchors dealt to several collections every string, with its digest."""
-        data = table.column("segment").to_pylist()
-        doc, begin = table.column("doc_id").to_numpy(), table.column("start").to_numpy().astype(np.int64)
-        is_open, h = table.column("open").to_numpy(), table.column("h").to_numpy()
+        rows = [_read_segment_rows(x) for x in table.column("segments").to_pylist()]
+        source = np.repeat(np.arange(len(rows)), [len(x[0]) for x in rows])
+        data = [s for x in rows for s in x[0]]
+        doc, place_id, tag, begin = (np.concatenate(x) for x in zip(*(x[1:] for x in rows)))
         who, offset, kind = repeated_strings(data, length)
-        doc_of, start = doc[who], begin[who] + offset
-        by = np.lexsort((start, doc_of, kind))
-        who, offset, kind, doc_of, start = who[by], offset[by], kind[by], doc_of[by], start[by]
-        repeat = np.concatenate(([False], kind[1:] == kind[:-1]))
-        closed = repeat & ~is_open[who]
-        d, s, n = _runs(doc_of[closed], start[closed])
-        o = np.flatnonzero(is_open[who])
-        marks = [xxhash.xxh3_128_digest(data[w][x : x + length]) for w, x in zip(who[o].tolist(), offset[o].tolist())]
-        return pa.table({
-            "doc_id": pa.array(np.concatenate([d, doc_of[o]])), "start": pa.array(np.concatenate([s, start[o]]).astype(np.int32)),
-            "n": pa.array(np.concatenate([n, np.ones(len(o), np.int64)]).astype(np.int32)), "mark": pa.array([None] * len(d) + marks, pa.binary()),
-        })
-
-    ordered = written(dealt.groupBy("bucket").applyInArrow(order, "doc_id bigint, start int, n int, mark binary"))
-    marks = ordered.where("mark is not null")
-    earliest = marks.groupBy("mark").agg(F.min(F.struct("doc_id", "start")).alias("at"))
-    met = marks.join(earliest, "mark").where("doc_id <> at.doc_id or start <> at.start").select("doc_id", "start", "n")
-    return whole, texts.select("doc_id", "packed"), later.union(ordered.where("mark is null").select("doc_id", "start", "n")).union(met)
-
-
-def _kept(texts: DataFrame, ranges: DataFrame, length: int, schema: str, make) -> DataFrame:
-    """make(doc_id, bytes, mask of bytes to remove) for every document with a range, as rows of schema."""
-    of_doc = ranges.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def apply(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            rows = []
-            for at, doc in enumerate(batch.column("doc_id").to_pylist()):
-                data = unpack(batch.column("packed")[at].as_py())
-                rows.append(make(doc, data, _cover(len(data), _ranges_of(batch.column("ranges"), at), length)))
-            if rows:
-                yield pa.record_batch([pa.array(list(x)) for x in zip(*rows)], names=names)
+        start = begin[who] + offset
+        again = ~ex.is_first(kind.astype(np.uint64), np.zeros(len(kind), np.uint32), place_id[who], tag[who], start)
+        hit = np.flatnonzero(again)
+        hit = hit[np.argsort(source[who[hit]], kind="stable")]
+        out = np.split(hit, np.searchsorted(source[who[hit]], np.arange(1, len(rows))))
+        return pa.table({"chunk": table.column("chunk"), "ranges": pa.array([ex.pack_all(_runs(doc[who[x]], start[x])) for x in out], pa.binary())})
+
+    sorted_ranges = to_sort.select("chunk", "sort").mapInArrow(_per_chunk(deal), "collection bigint, chunk bigint, segments binary").groupBy("collection").applyInArrow(order, RANGES)
+    ranges = scratch.written(sorted_ranges.union(ranges))
+    scratch.drop_others(chunks, whole, ranges)
+    return whole, ranges
+
 
-    return texts.join(of_doc, "doc_id").mapInArrow(apply, schema)
+def _segment_rows(own: Segments, length: int) -> bytes:
+    data = own.bytes_of(length)
+    packed = np.frombuffer(zstandard.ZstdCompressor(level=1).compress(b"".join(data)), np.uint8)
+    return ex.pack_all([packed, np.array([len(x) for x in data], np.int64), own.doc[own.region], own.id[own.region], own.tag[own.region], own.start])
 
 
-def _digest_row(doc: int, data: bytes, gone: np.ndarray):
+def _read_segment_rows(packed: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    data, sizes, *rest = ex.unpack_all(packed)
+    flat = zstandard.ZstdDecompressor().decompress(data.tobytes())
+    ends = np.cumsum(sizes)
+    return [flat[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())], *rest
+
+
+def _applied(docs: DataFrame, id_col: str, text_col: str, length: int, schema: str, make, gram: int, collection: int, crowded: int) -> DataFrame:
+    """make(rows of a chunk, its texts, Places, mask of the bytes that go for each document, None for none) -> table of the schema."""
+    scratch = Scratch(docs.sparkSession)
+    chunks = scratch.written(chunks_of(docs, id_col, text_col))
+    whole, ranges = repeat_ranges(chunks, scratch, text_col, length, gram, collection, crowded)
+
+    def apply(row: dict, right: pa.Table) -> pa.Table:
+        rows, places = _rows(row["payload"]), Places(row)
+        texts = _texts(rows, text_col)
+        found = right.column("ranges").to_pylist()
+        of_text = right.filter(pa.array([x is None for x in found], pa.bool_()))
+        gone: list[np.ndarray | None] = [None] * len(texts)
+        at, ask = places.whole(length)
+        for d in at[~ask.firsts(ex.answer_of(of_text, bool))].tolist():
+            gone[d] = np.ones(len(texts[d]), bool)
+        parts = [ex.unpack_all(x) for x in found if x is not None]
+        if parts:
+            doc, start, n = (np.concatenate(x).astype(np.int64) for x in zip(*parts))
+            by = np.argsort(doc, kind="stable")
+            doc, start, n = doc[by], start[by], n[by]
+            for d, lo, hi in zip(*(x.tolist() for x in (np.unique(doc), np.searchsorted(doc, np.unique(doc)), np.searchsorted(doc, np.unique(doc), side="right")))):
+                gone[d] = _cover(len(texts[d]), start[lo:hi], n[lo:hi], length)
+        return make(rows, texts, places, [gone[x] for x in places.same.tolist()])
+
+    right = whole.select("chunk", "bucket", "told", F.lit(None).cast("binary").alias("ranges")).unionByName(ranges, allowMissingColumns=True)
+    return _with_answers(chunks, right, apply, schema)
+
+
+def _digest_row(data: bytes, gone: np.ndarray | None, digest: bytes) -> tuple[int, int, int, str]:
+    if gone is None:
+        return len(data), 0, 0, digest.hex()
     kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
     spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(len(gone) > 0 and gone[0])
-    return doc, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()
+    return len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()
 
 
-def repeats_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Bytes, removed bytes, removed runs, and the digest of what is left, of every document."""
+def repeats_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, collection: int = COLLECTION, crowded: int = CROWDED) -> DataFrame:
+    """Bytes, removed bytes, removed runs, and the digest of what is left, of every row."""
     rows = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
-    whole, texts, ranges = repeat_ranges(rows, length)
-    part = _kept(texts, ranges, length, "doc_id bigint, n_removed bigint, n_spans bigint, kept_sha256 string", _digest_row)
-    gone = F.col("copy") & (F.col("n_bytes") >= length)
-    every = rows.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"))
-    known = whole.join(part, "doc_id", "left").select(
-        "doc_id",
-        "digest",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
-        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "digest")).alias("kept_sha256"),
-    )
-    return every.join(known, ["doc_id", "digest"], "left").select("doc_id", F.col("size").alias("n_bytes"), F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("bigint").alias("n_spans"), F.coalesce("kept_sha256", "digest").alias("kept_sha256"))
-
-
-def _text_row(doc: int, data: bytes, gone: np.ndarray):
+
+    def make(rows: pa.RecordBatch, texts: list[bytes], places: Places, gone: list) -> pa.Table:
+        told = list(zip(*(_digest_row(*x) for x in zip(texts, gone, places.digests))))
+        return pa.table([rows.column("doc_id"), *(pa.array(x, pa.int64()) for x in told[:3]), pa.array(told[3], pa.string())], names=[x.split()[0] for x in RESULT.split(", ")])
+
+    return _applied(rows, "doc_id", "text", length, RESULT, make, gram, collection, crowded)
+
+
+def _text_left(data: bytes, gone: np.ndarray) -> str:
     """Characters of which a byte stays whole only if all stay: what is left of a cut one is dropped."""
-    return doc, np.frombuffer(data, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+    return np.frombuffer(data, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, collection: int = COLLECTION, crowded: int = CROWDED) -> DataFrame:
     """The rows, all columns kept, with repeated bytes gone from their texts; texts of which nothing is left are empty."""
-    rows = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
-    whole, texts, ranges = repeat_ranges(rows, length)
-    part = _kept(texts, ranges, length, "doc_id bigint, new string", _text_row)
-    gone = whole.where(f"copy and n_bytes >= {length}").select("doc_id", F.lit("").alias("new"))
-    changed = part.union(gone).join(whole.select("doc_id", "digest"), "doc_id").select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("new").alias("_new"))
-    keyed = docs.withColumn("_digest_of", F.sha2(F.coalesce(text_col, F.lit("")), 256))
-    joined = keyed.join(changed, (F.col(id_col) == F.col("_doc")) & (F.col("_digest_of") == F.col("_digest")), "left")
-    return joined.select(*[F.coalesce("_new", text_col).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+
+    def make(rows: pa.RecordBatch, texts: list[bytes], places: Places, gone: list) -> pa.Table:
+        old = rows.column(text_col).to_pylist()
+        new = pa.array([x if g is None else _text_left(t, g) for x, t, g in zip(old, texts, gone)], pa.string())
+        return pa.table([new if c == text_col else rows.column(c) for c in rows.schema.names], names=rows.schema.names)
+
+    return _applied(docs, id_col, text_col, length, table_schema(docs), make, gram, collection, crowded)

@@ -106,30 +106,59 @@ def test_nearest(spark):
 
 
 def brute_repeats(rows, length=100):
+    """By place (doc_id, none last; digest): the bytes and which of them go."""
+    place = lambda i, t: (2**63 - 1 if i is None else i, hashlib.sha256((t or "").encode()).digest())
     seen, out = set(), {}
-    for i, t in sorted(set(rows), key=lambda r: r[0]):
-        data = (t or "").encode()
+    for at, t in sorted({(place(i, t), t or "") for i, t in rows}):
+        data = t.encode()
         gone = np.zeros(len(data), bool)
-        for at in range(len(data) - length + 1):
-            part = data[at : at + length]
+        for k in range(len(data) - length + 1):
+            part = data[k : k + length]
             if part in seen:
-                gone[at : at + length] = True
+                gone[k : k + length] = True
             seen.add(part)
-        out[i] = repeats._digest_row(i, data, gone)
-    return out
-
-
-@pytest.mark.parametrize("crowded", [600, 2])
-def test_repeats(spark, docs, empty, crowded, monkeypatch):
-    monkeypatch.setattr(repeats, "repeat_ranges", lambda rows, length, f=repeats.repeat_ranges: f(rows, length, crowded=crowded))
-    want = brute_repeats(ROWS)
-    got = repeats.repeats_report(docs).collect()
-    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in ROWS)
-    for r in got:
-        assert (r.doc_id, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
-    out = repeats.without_repeats(docs)
-    assert out.columns == docs.columns and out.count() == len(ROWS)
-    assert repeats.repeats_report(empty).count() == 0
+        out[at] = data, gone
+    return [out[place(i, t)] for i, t in rows]
+
+
+def repeating_rows():
+    own = random.Random(11)
+    words = ["the", "of", "naïve", "日本", "token", "x", "data.", "and", "zebra!", "lorem", "ipsum"]
+    some = lambda n: " ".join(own.choice(words) for _ in range(n))
+    passages = [some(40) for _ in range(3)]
+    rows = [(None, None), (None, passages[0]), (None, passages[1]), (None, passages[1]), (7, ""), (8, "x" * 700), (9, "ab" * 300), (10, some(9000) + passages[2])]
+    rows += [(i, some(own.randint(0, 20)) + " " + own.choice(passages) + " " + some(own.randint(0, 20))) for i in range(100, 200)]
+    rows += [(i, passages[2][:150] + some(3) + passages[2][150:] + passages[0]) for i in range(200, 215)]
+    return rows + [(110, some(60)), (110, passages[0] + "!"), rows[20], rows[21]]
+
+
+@pytest.mark.parametrize("crowded", [1000, 3])
+@pytest.mark.parametrize("rows", [ROWS, repeating_rows()])
+def test_repeats(spark, rows, crowded):
+    df = spark.createDataFrame([(i, t, "a", "b") for i, t in rows], "doc_id long, text string, _doc string, chunk string").repartition(3)
+    want = [(i, *repeats._digest_row(data, gone, hashlib.sha256(data).digest())) for (i, _), (data, gone) in zip(rows, brute_repeats(rows))]
+    got = repeats.repeats_report(df, crowded=crowded, collection=40).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_without_repeats(spark, empty):
+    rows = repeating_rows()
+    df = spark.createDataFrame([(i, t, "a", "b") for i, t in rows], "doc_id long, text string, _doc string, chunk string").repartition(3)
+    want = [(i, t if not gone.any() else np.frombuffer(data, np.uint8)[~gone].tobytes().decode("utf-8", "ignore"), "a", "b") for (i, t), (data, gone) in zip(rows, brute_repeats(rows))]
+    out = repeats.without_repeats(df)
+    assert out.columns == df.columns and sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    assert repeats.repeats_report(empty).count() == 0 and repeats.without_repeats(empty).columns == empty.columns
+
+
+def test_column_order_is_the_suffix_order():
+    own = random.Random(2)
+    for _ in range(30):
+        segments = [bytes(own.choices(b"ab", k=own.randint(1, 12))) for _ in range(own.randint(1, 9))]
+        who, offset, lcp = repeats.collection_order(segments, 6)
+        suffixes = [segments[w][o:] for w, o in zip(who, offset)]
+        assert suffixes == sorted(suffixes) and len(suffixes) == sum(len(x) + 1 for x in segments)
+        for a, b, n in zip(suffixes, suffixes[1:], lcp[1:]):
+            assert n == min(6, next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
 
 
 def test_quality(spark, docs, empty):
