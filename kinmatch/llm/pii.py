@@ -1,7 +1,8 @@
 """Pseudonyms for personal data that keep its format.
 
 Numbers and dates are validated (check digits, octets, calendar) and permuted inside the set of values of their own
-format by a keyed Feistel network, walking its cycle until the result is valid again. Equal values therefore become
+format by a keyed Feistel network, walking its cycle until the result is valid again. What has more than 2^128 values, as
+long secrets, is permuted as a list of symbols by a network whose halves are lists, in linear time at any length. Equal values therefore become
 equal pseudonyms in every document and different values stay different, however they are punctuated; the same key
 gives the same pseudonyms in every run, and nothing but the key is needed to make them.
 
@@ -10,7 +11,9 @@ dates, e-mail addresses (local part and the labels before the last two), and sec
 `token =`, `password=` and their like.
 
 Defined results: null texts stay null, and empty ones empty. A text without personal data comes back unchanged. What
-fails validation stays as it is. All other columns are kept; repeated rows each give a row.
+fails validation stays as it is. All other columns are kept, whatever their names: a count is left out where its column
+is there already. Repeated rows each give a row, an empty table an empty one. A text of any length is read whole, in
+time that grows with its length.
 """
 
 from __future__ import annotations
@@ -23,19 +26,23 @@ import re
 import string
 from datetime import date, timedelta
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from kinmatch.llm.common import map_slices, per_process
 
 ROUNDS = 8
+#: Formats with more values than this are permuted as lists of symbols.
+NUMBERS = 1 << 128
 KINDS = ("card", "iban", "ip", "phone", "ssn", "date", "email", "secret")
 _DAY0, _DAYS = date(1900, 1, 1), (date(2099, 12, 31) - date(1900, 1, 1)).days + 1
 
 #: A text without any of these has nothing to find: every kind holds a digit, an @ or an assignment.
 _MAYBE = re.compile(r"[0-9@]|(?i:password|passwd|pwd|secret|token|api[_-]?key|AKIA|ASIA)")
 _FIND = re.compile(
-    r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+    # begun at the border of a run and never given back, so that a long run without an @ is read once
+    r"(?<![A-Za-z0-9._%+-])(?P<lead>[._%+-]*+)(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,})"
     r"|(?P<assigned>(?i:\b(?:access[_-]?token|auth[_-]?token|api[_-]?key|apikey|token|secret|password|passwd|pwd)\b\s?[:=]\s?[\"']?))(?P<secret>[A-Za-z0-9+/_-]{8,})"
     r"|(?P<key>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b)"
     r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b)"
@@ -49,17 +56,22 @@ _FIND = re.compile(
 
 
 class Permuter:
-    """Keyed permutations of the numbers below n, each named by a format."""
+    """Keyed permutations, each named by a format: of the numbers below n, and of lists of symbols."""
 
     def __init__(self, key: bytes):
         self.key = key
 
     def _round(self, name: bytes, i: int, half: int, n: int) -> int:
         said = hmac.new(self.key, b"%s/%d/%d/%d" % (name, n, i, half), hashlib.sha256).digest()
-        return int.from_bytes(said[:16], "big")
+        return int.from_bytes(said, "big")
 
     def permute(self, name: bytes, value: int, n: int) -> int:
-        """Alternating additions of a keyed function of the one half to the other, until the value is below n."""
+        """Alternating additions of a keyed function of the one half to the other, until the value is below n.
+
+        A half has 64 bits at most, the function 256, so every sum is as good as evenly spread.
+        """
+        if n > NUMBERS:
+            raise ValueError("larger values are permuted as lists of symbols")
         if n < 2:
             return value
         a = math.isqrt(n - 1) + 1
@@ -75,6 +87,17 @@ class Permuter:
             if value < n:
                 return value
 
+    def permute_symbols(self, name: bytes, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of each position a number below its size. The halves are lists; 64 bits are added for every position of one."""
+        half = len(values) // 2
+        parts, moduli = [values[:half].astype(np.uint64), values[half:].astype(np.uint64)], [sizes[:half].astype(np.uint64), sizes[half:].astype(np.uint64)]
+        for i in range(ROUNDS):
+            to = i % 2
+            said = hmac.new(self.key, b"%s/list/%d/%d/" % (name, len(values), i) + parts[1 - to].astype(np.uint8).tobytes(), hashlib.sha256).digest()
+            added = np.frombuffer(hashlib.shake_256(said).digest(8 * len(parts[to])), "<u8")
+            parts[to] = (parts[to] + added % moduli[to]) % moduli[to]
+        return np.concatenate(parts).astype(np.int64)
+
 
 def luhn(digits: str) -> int:
     total = 0
@@ -98,18 +121,26 @@ class Pseudonyms:
         """Permutes the letters and digits of a text, each inside its class; all else stays."""
         hexadecimal = len(text) >= 16 and re.fullmatch(r"[0-9a-f]+", text) is not None and not text.isdigit()
         sets = [string.hexdigits[:16]] if hexadecimal else [string.digits, string.ascii_lowercase, string.ascii_uppercase]
-        slots = [next((s for s in sets if x in s), None) for x in text]
-        value, n = 0, 1
-        for x, s in zip(text, slots):
-            if s:
-                value, n = value * len(s) + s.index(x), n * len(s)
-        shape = "".join(f"{len(s):02d}" if s else x for x, s in zip(text, slots))
-        value = self.feistel.permute(f"{name}:{shape}".encode(), value, n)
+        place = {x: (s, k) for s in sets for k, x in enumerate(s)}
+        at = [k for k, x in enumerate(text) if x in place]
+        own = [place[text[k]] for k in at]
+        sizes = [len(s) for s, _ in own]
+        shape = hashlib.sha256(",".join(f"{len(place[x][0])}" if x in place else x for x in text).encode()).hexdigest()
+        format_name, n = f"{name}:{shape}".encode(), math.prod(sizes) if len(sizes) < 100 else NUMBERS + 1
+        if n > NUMBERS:
+            values = self.feistel.permute_symbols(format_name, np.array([k for _, k in own]), np.array(sizes)).tolist()
+        else:
+            value, values = 0, []
+            for (_, k), size in zip(own, sizes):
+                value = value * size + k
+            value = self.feistel.permute(format_name, value, n)
+            for size in reversed(sizes):
+                value, k = divmod(value, size)
+                values.append(k)
+            values.reverse()
         out = list(text)
-        for i in range(len(text) - 1, -1, -1):
-            if s := slots[i]:
-                value, at = divmod(value, len(s))
-                out[i] = s[at]
+        for k, (s, _), v in zip(at, own, values):
+            out[k] = s[v]
         new = "".join(out)
         # digits alone are another format
         return self._classes(name, new) if hexadecimal and new.isdigit() else new
@@ -205,6 +236,9 @@ class Pseudonyms:
 
         def change(m: re.Match) -> str:
             kind = m.lastgroup
+            if kind == "email":
+                found["email"] += 1
+                return m["lead"] + self.email(m["email"])
             if kind == "secret":
                 found["secret"] += 1
                 return m["assigned"] + self._classes("secret", m["secret"])

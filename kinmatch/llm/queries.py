@@ -6,6 +6,7 @@ and vocabularies that SQL lacks. tests/llm/ holds each against a brute-force ver
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 import public_tokenizers
@@ -16,12 +17,11 @@ from kinmatch.llm import ann, bpe, language, lm, packing, pii, quality, repeats,
 from kinmatch.llm import tokens as token_counting
 from kinmatch.llm.common import read_table
 
-#: Key of the pseudonyms; a deployment sets its own in kinmatch.pii.key.
-PII_KEY = "kinmatch example key"
-
-
 def pii_key(spark: SparkSession) -> str:
-    return spark.conf.get("kinmatch.pii.key", PII_KEY)
+    """kinmatch.pii.key; where it is not set, a random key that is set for the rest of the session."""
+    if not spark.conf.get("kinmatch.pii.key", ""):
+        spark.conf.set("kinmatch.pii.key", secrets.token_hex(32))
+    return spark.conf.get("kinmatch.pii.key")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
