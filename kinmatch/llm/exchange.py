@@ -7,15 +7,25 @@ and answers each chunk in the chunk's own order. A key, however frequent, comes
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import hashlib
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from kinmatch.llm.common import text_slices
+
 ASKS = "chunk bigint, bucket int, keys binary, told binary"
+#: Keys that only say where to look are cut to their first 48 bits.
+SHORT = ~np.uint64(0xFFFF)
 ANSWERS = "chunk bigint, bucket int, told binary"
+#: ids, digests and sizes of the rows; more: what else was worked out; payload: the rows themselves. A chunk is numbered
+#: by the partition that it was read from and its place there, in the last 24 bits.
+CHUNK = "chunk bigint, n_bytes bigint, ids binary, digests binary, sizes binary, more binary, payload binary"
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -107,3 +117,57 @@ class FirstAsk:
         """Whether each row is first, by what came back."""
         lead = self.lead[self.each]
         return np.logical_and.reduce([answer.astype(bool)[self.each], *(x == x[lead] for x in self.place)])
+
+
+def chunks_of(docs: DataFrame, id_col: str, text_col: str, more: Callable[[list[bytes]], bytes] = lambda texts: b"") -> DataFrame:
+    """Rows of CHUNK: about 8 MB of documents each, whole rows packed as they are, and more(texts)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        number = (task.partitionId() if task else 0) << 24
+        for part in text_slices(batches, text_col):
+            texts = [(x or "").encode() for x in part.column(text_col).to_pylist()]
+            ids = pc.fill_null(part.column(id_col).cast(pa.int64()), 2**63 - 1).to_numpy(zero_copy_only=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+                out.write_batch(part)
+            digests = b"".join(hashlib.sha256(x).digest() for x in texts)
+            sizes = np.array([len(x) for x in texts], np.int64)
+            packed = (pack(ids), digests, pack(sizes), more(texts), sink.getvalue().to_pybytes())
+            yield pa.record_batch([pa.array([x], pa.int64()) for x in (number, int(sizes.sum()))] + [pa.array([x], pa.binary()) for x in packed], names=[x.split()[0] for x in CHUNK.split(", ")])
+            number += 1
+
+    return docs.mapInArrow(run, CHUNK)
+
+
+def rows_of(payload: bytes) -> pa.RecordBatch:
+    """The documents of a chunk. Buffers copied: the rows may outlive the message."""
+    return pa.ipc.open_stream(payload).read_next_batch()
+
+
+def per_chunk(fn):
+    """fn(row of the chunk) -> record batches, over rows that are chunks."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                yield from fn(batch.slice(at, 1).to_pylist()[0])
+
+    return run
+
+
+def with_answers(table: DataFrame, answers: DataFrame, fn, schema: str) -> DataFrame:
+    """fn(row of the chunk, what came back to it) -> table of the schema."""
+    names = [x.split()[0].strip("`") for x in schema.split(", ")]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            raise ValueError("answers for a chunk that is not there")
+        out = fn(left.to_pylist()[0], right)
+        return out if isinstance(out, pa.Table) else pa.table({c: pa.array([x]) for c, x in zip(names, out)})
+
+    return table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def texts_of(rows: pa.RecordBatch, text_col: str) -> list[bytes]:
+    return [(x or "").encode() for x in rows.column(text_col).to_pylist()]

@@ -27,19 +27,17 @@ of any length is read whole. Columns of any name are kept. An empty table gives
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinmatch.llm import exchange as ex
-from kinmatch.llm.common import Scratch, shuffle_partitions, table_schema, text_slices
+from kinmatch.llm.common import Scratch, shuffle_partitions, table_schema
 
 #: Length of the strings by whose hash anchors are chosen, for repeats of LENGTH bytes.
 LENGTH, GRAM = 100, 64
@@ -51,10 +49,7 @@ _BLOCK = 1 << 19
 _RNG = np.random.default_rng(20240501)
 _BYTE_HASH = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Keys that only say where to look are cut to their first 48 bits.
-_SHORT = ~np.uint64(0xFFFF)
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-CHUNK = "chunk bigint, n_bytes bigint, ids binary, digests binary, sizes binary, payload binary"
 RANGES = "chunk bigint, ranges binary"
 
 
@@ -229,60 +224,6 @@ class Places:
         return at, ex.FirstAsk(words[:, 0], (words[:, 1] >> np.uint64(32)).astype(np.uint32), self.id[at])
 
 
-def chunks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of CHUNK: about 8 MB of documents each, whole rows packed as they are."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        number = (task.partitionId() if task else 0) << 32
-        for part in text_slices(batches, text_col):
-            texts = [(x or "").encode() for x in part.column(text_col).to_pylist()]
-            ids = pc.fill_null(part.column(id_col).cast(pa.int64()), 2**63 - 1).to_numpy(zero_copy_only=False)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
-                out.write_batch(part)
-            digests = b"".join(hashlib.sha256(x).digest() for x in texts)
-            sizes = np.array([len(x) for x in texts], np.int64)
-            packed = (ex.pack(ids), digests, ex.pack(sizes), sink.getvalue().to_pybytes())
-            yield pa.record_batch([pa.array([x], pa.int64()) for x in (number, int(sizes.sum()))] + [pa.array([x], pa.binary()) for x in packed], names=["chunk", "n_bytes", "ids", "digests", "sizes", "payload"])
-            number += 1
-
-    return docs.mapInArrow(run, CHUNK)
-
-
-def _rows(payload: bytes) -> pa.RecordBatch:
-    """The documents of a chunk. Buffers copied: the rows may outlive the message."""
-    return pa.ipc.open_stream(payload).read_next_batch()
-
-
-def _per_chunk(fn):
-    """fn(row of the chunk) -> record batches, over rows that are chunks."""
-
-    def run(batches):
-        for batch in batches:
-            for at in range(batch.num_rows):
-                yield from fn(batch.slice(at, 1).to_pylist()[0])
-
-    return run
-
-
-def _with_answers(table: DataFrame, answers: DataFrame, fn, schema: str) -> DataFrame:
-    """fn(row of the chunk, what came back to it) -> table of the schema."""
-    names = [x.split()[0].strip("`") for x in schema.split(", ")]
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            raise ValueError("answers for a chunk that is not there")
-        out = fn(left.to_pylist()[0], right)
-        return out if isinstance(out, pa.Table) else pa.table({c: pa.array([x]) for c, x in zip(names, out)})
-
-    return table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
-
-
-def _texts(rows: pa.RecordBatch, text_col: str) -> list[bytes]:
-    return [(x or "").encode() for x in rows.column(text_col).to_pylist()]
-
-
 class Segments:
     """Stretches of strings round anchors, with the bytes they lie in.
 
@@ -361,7 +302,7 @@ class Segments:
         """A number for the range and the core of each segment."""
         begin, end = self.anchor - self.cell_lo, self.anchor - self.cell_hi + length
         core = (xxhash.xxh64_intdigest(self.data[a:b], s) for a, b, s in zip(begin.tolist(), end.tolist(), (self.cell_lo * 256 + self.cell_hi).tolist()))
-        return np.fromiter(core, np.uint64, len(self)) & _SHORT
+        return np.fromiter(core, np.uint64, len(self)) & ex.SHORT
 
     def ranges(self) -> list[np.ndarray]:
         """(document in the chunk, first start, number of starts) of the strings."""
@@ -371,7 +312,7 @@ class Segments:
 def _chunk_anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
     found = [*text_anchors(texts, length, gram)]
     doc, h, start, n = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
-    return doc, h.astype(np.int64).view(np.uint64) & _SHORT, start, n % 256, n // 256
+    return doc, h.astype(np.int64).view(np.uint64) & ex.SHORT, start, n % 256, n // 256
 
 
 def _candidates(texts: list[bytes], places: Places, doc, start, n, away, length: int) -> Segments:
@@ -392,7 +333,7 @@ def _candidates(texts: list[bytes], places: Places, doc, start, n, away, length:
 
 
 def repeat_ranges(chunks: DataFrame, scratch: Scratch, text_col: str, length: int, gram: int, collection: int, crowded: int) -> tuple[DataFrame, DataFrame]:
-    """Of written rows of CHUNK: (answers which texts are the first alike, RANGES of the strings that also start earlier)."""
+    """Of written rows of ex.CHUNK: (answers which texts are the first alike, RANGES of the strings that also start earlier)."""
     if gram & (gram - 1) or gram > length or length > 255:
         raise ValueError("gram must be a power of two of at most length, and length at most 255")
     spark, wide = chunks.sparkSession, length - gram
@@ -405,18 +346,18 @@ def repeat_ranges(chunks: DataFrame, scratch: Scratch, text_col: str, length: in
             yield ask.asks(row["chunk"], buckets)
 
     no_payload = chunks.select("chunk", "ids", "digests", "sizes")
-    whole = scratch.written(ex.answered(no_payload.mapInArrow(_per_chunk(ask_whole), ex.ASKS), ex.is_first))
+    whole = scratch.written(ex.answered(no_payload.mapInArrow(ex.per_chunk(ask_whole), ex.ASKS), ex.is_first))
 
     def ask_anchors(row: dict):
-        _, h, *_ = _chunk_anchors(_texts(_rows(row["payload"]), text_col), length, gram)
+        _, h, *_ = _chunk_anchors(ex.texts_of(ex.rows_of(row["payload"]), text_col), length, gram)
         if len(h):
             keys, n = np.unique(h, return_counts=True)
             yield ex.asks(row["chunk"], buckets, keys, [np.minimum(n, 2).astype(np.uint8)])
 
-    often = ex.answered(chunks.select("chunk", "payload").mapInArrow(_per_chunk(ask_anchors), ex.ASKS), lambda keys, n: ex.totals(keys, n) > 1)
+    often = ex.answered(chunks.select("chunk", "payload").mapInArrow(ex.per_chunk(ask_anchors), ex.ASKS), lambda keys, n: ex.totals(keys, n) > 1)
 
     def candidates(row: dict, right: pa.Table):
-        texts, places = _texts(_rows(row["payload"]), text_col), Places(row)
+        texts, places = ex.texts_of(ex.rows_of(row["payload"]), text_col), Places(row)
         is_text = np.array(right.column("is_text").to_pylist(), bool)
         at, ask = places.whole(length)
         read = np.zeros(len(texts), bool)
@@ -428,7 +369,7 @@ def repeat_ranges(chunks: DataFrame, scratch: Scratch, text_col: str, length: in
 
     told = often.withColumn("is_text", F.lit(False)).union(whole.withColumn("is_text", F.lit(True)))
     segments = "chunk bigint, segments binary"
-    found = scratch.written(_with_answers(chunks, told, candidates, segments))
+    found = scratch.written(ex.with_answers(chunks, told, candidates, segments))
 
     def first_only(table: DataFrame) -> DataFrame:
         """The first of equal segments, and the ranges of the others."""
@@ -445,7 +386,7 @@ def repeat_ranges(chunks: DataFrame, scratch: Scratch, text_col: str, length: in
             first = own.first_ask(length).firsts(ex.answer_of(right, bool))
             return row["chunk"], own.cut(first).packed(), ex.pack_all(own.cut(~first).ranges())
 
-        return scratch.written(_with_answers(table, ex.answered(table.mapInArrow(_per_chunk(ask), ex.ASKS), ex.is_first), keep, f"{segments}, ranges binary"))
+        return scratch.written(ex.with_answers(table, ex.answered(table.mapInArrow(ex.per_chunk(ask), ex.ASKS), ex.is_first), keep, f"{segments}, ranges binary"))
 
     def in_cells(table: DataFrame, halve: bool) -> DataFrame:
         """Segments of cells to sort and of crowded cells, and how many; those alone in their cell are done with."""
@@ -473,8 +414,8 @@ def repeat_ranges(chunks: DataFrame, scratch: Scratch, text_col: str, length: in
             halves = split.in_cells([(split.cell_lo, middle), (middle + 1, split.cell_hi)])
             return row["chunk"], sort.packed(), len(sort), halves.packed(), len(halves)
 
-        asked = ex.answered(table.mapInArrow(_per_chunk(ask), ex.ASKS), ex.totals)
-        return scratch.written(_with_answers(table, asked, place, "chunk bigint, sort binary, n_sort bigint, segments binary, n_split bigint"))
+        asked = ex.answered(table.mapInArrow(ex.per_chunk(ask), ex.ASKS), ex.totals)
+        return scratch.written(ex.with_answers(table, asked, place, "chunk bigint, sort binary, n_sort bigint, segments binary, n_split bigint"))
 
     firsts = first_only(found)
     scratch.drop_others(chunks, whole, firsts)
@@ -512,7 +453,7 @@ def repeat_ranges(chunks: DataFrame, scratch: Scratch, text_col: str, length: in
         out = np.split(hit, np.searchsorted(source[who[hit]], np.arange(1, len(rows))))
         return pa.table({"chunk": table.column("chunk"), "ranges": pa.array([ex.pack_all(_runs(doc[who[x]], start[x])) for x in out], pa.binary())})
 
-    sorted_ranges = to_sort.select("chunk", "sort").mapInArrow(_per_chunk(deal), "collection bigint, chunk bigint, segments binary").groupBy("collection").applyInArrow(order, RANGES)
+    sorted_ranges = to_sort.select("chunk", "sort").mapInArrow(ex.per_chunk(deal), "collection bigint, chunk bigint, segments binary").groupBy("collection").applyInArrow(order, RANGES)
     ranges = scratch.written(sorted_ranges.union(ranges))
     scratch.drop_others(chunks, whole, ranges)
     return whole, ranges
@@ -534,12 +475,12 @@ def _read_segment_rows(packed: bytes) -> tuple[list[bytes], np.ndarray, np.ndarr
 def _applied(docs: DataFrame, id_col: str, text_col: str, length: int, schema: str, make, gram: int, collection: int, crowded: int) -> DataFrame:
     """make(rows of a chunk, its texts, Places, mask of the bytes that go for each document, None for none) -> table of the schema."""
     scratch = Scratch(docs.sparkSession)
-    chunks = scratch.written(chunks_of(docs, id_col, text_col))
+    chunks = scratch.written(ex.chunks_of(docs, id_col, text_col))
     whole, ranges = repeat_ranges(chunks, scratch, text_col, length, gram, collection, crowded)
 
     def apply(row: dict, right: pa.Table) -> pa.Table:
-        rows, places = _rows(row["payload"]), Places(row)
-        texts = _texts(rows, text_col)
+        rows, places = ex.rows_of(row["payload"]), Places(row)
+        texts = ex.texts_of(rows, text_col)
         found = right.column("ranges").to_pylist()
         of_text = right.filter(pa.array([x is None for x in found], pa.bool_()))
         gone: list[np.ndarray | None] = [None] * len(texts)
@@ -556,7 +497,7 @@ def _applied(docs: DataFrame, id_col: str, text_col: str, length: int, schema: s
         return make(rows, texts, places, [gone[x] for x in places.same.tolist()])
 
     right = whole.select("chunk", "bucket", "told", F.lit(None).cast("binary").alias("ranges")).unionByName(ranges, allowMissingColumns=True)
-    return _with_answers(chunks, right, apply, schema)
+    return ex.with_answers(chunks, right, apply, schema)
 
 
 def _digest_row(data: bytes, gone: np.ndarray | None, digest: bytes) -> tuple[int, int, int, str]:

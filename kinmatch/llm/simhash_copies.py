@@ -1,16 +1,22 @@
-"""Classes of near copies by shingle similarity, found through shared rare shingles and checked on the shingles.
+"""Classes of near copies: texts whose sets of shingles have a Jaccard similarity high enough, and what links reach.
 
-Two texts are linked if the Jaccard similarity of their sets of shingles is high enough. If all sets are read in one
-order, two sets that similar share a shingle among the first n - ceil(similarity * n) + 1 of each, so every pair to link
-meets in the cell of such a shingle: none is missed. Any order will do; shingles that are common in a sample come last,
-which keeps cells small. What meets is compared on the texts, whether it is then linked or not.
+Fingerprints cannot bound this similarity: at 0.8 two of 64 bits differ in ten on average, at times in twenty. They
+find the nearest copies first: the generalised pigeonhole probes of simhash.py propose texts within two bits, and what
+they propose is compared on the shingles. That makes the classes of crowds of copies without looking at all their pairs.
 
-Groups of copies: texts with equal sets are one node. Nodes of a cell are first compared with the least and greatest
-node there, which makes components of crowds without pairs. Then only nodes of unlike components are compared, and in
-each cell the nodes of its largest component only answer.
+No link may be missed, so an exact join finds the rest. If all sets are read in one order, two sets that similar share a
+shingle among the first n - ceil(similarity * n) + 1 of each, so every pair to link meets in the cell of such a shingle.
+Any order will do; shingles that are common in a sample come last, which keeps cells small. Documents lie in chunks,
+which ask for their first shingles whether others have them too (exchange.py), so only those that do are dealt to cells.
+In a cell that holds several classes, the members outside of its largest class are compared with a few members of that,
+over several rounds with other members; classes grow meanwhile. Only what is still apart then is compared with all of the cell.
+
+Groups of copies: texts with equal sets are one node from the start, told by 96 bits.
 
 Defined results: null and blank texts are equal to each other and near nothing else; a text of fewer words than a shingle
-has one shingle. Every row gives a row. Shingles, and sets of them, are told apart by 64-bit hashes.
+has one shingle. near_copies gives a row for every row, first_copies the rows that stay as they were, all columns kept,
+whatever their names. Rows without a doc_id come after all others; of rows with one id and text one stays. Texts of any
+length are read whole. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,17 +24,27 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import cut_lineage, map_slices, table_schema, written
+from kinmatch.llm import exchange as ex
+from kinmatch.llm.common import SLICE_ROWS, Scratch, cut_lineage, map_slices, shuffle_partitions, table_schema
 from kinmatch.llm.components import connected_components
-from kinmatch.llm.simhash import shingle_digests
+from kinmatch.llm.simhash import majority, near_pairs, shingle_digests
 
-#: A shingle is common if it is in this share of the sampled nodes and in so many of them, so a bounded number of them is.
+#: A shingle is common if it is in this share of the sampled texts and in so many of them, so a bounded number of them is.
 COMMON_SHARE, LEAST_COMMON = 5e-4, 8
-#: Nodes of the sample, in expectation.
+#: Texts of the sample, in expectation.
 SAMPLE = 50_000
+#: Rounds of comparisons with members of a cell's largest class, and how many members each.
+ROUNDS, MEMBERS = 2, 4
+#: Pairs, of 16 bytes each, that are sent to all tasks; more are joined by a shuffle.
+PAIRS_SENT = 500_000
+#: Bytes of text, in expectation, whose shingles a bucket of questions sees.
+BUCKET_BYTES = 16 << 20
+NO_ID = 2**63 - 1
+NODE = "node bigint, hi bigint, lo bigint, least bigint, n bigint, fp bigint, cells array<bigint>, at array<int>, text binary"
 
 
 def shingles(text: str | None, words_per_shingle: int) -> np.ndarray:
@@ -36,52 +52,94 @@ def shingles(text: str | None, words_per_shingle: int) -> np.ndarray:
     return np.unique(shingle_digests(text, words_per_shingle).reshape(-1).view(">u8").astype(np.uint64))
 
 
-def with_node(docs: DataFrame, words_per_shingle: int) -> DataFrame:
-    """(doc_id, text, n, node) of docs (doc_id, text): how many shingles, and a number of the set of them."""
+def _keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    told = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), ">u8").reshape(-1, 2).astype(np.uint64)
+    return told[:, 0], told[:, 1] & ~np.uint64(0xFFFFFFFF)
+
 
-    def compute(part: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(x, words_per_shingle) for x in part.column("text").to_pylist()]
-        node = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
-        return pa.record_batch([part.column("doc_id"), part.column("text"), pa.array([len(x) for x in sets], pa.int64()), pa.array(node)], names=["doc_id", "text", "n", "node"])
+class _Sets:
+    """Of a chunk's rows the keys of their sets, and the question which are the first with theirs."""
 
-    return map_slices(docs, compute, "doc_id bigint, text string, n bigint, node bigint")
+    def __init__(self, row: dict):
+        self.hi, self.lo = ex.unpack_all(row["more"])
+        self.id = ex.unpack(row["ids"])
+        at = np.arange(len(self.id))
+        self.node = row["chunk"] * SLICE_ROWS + at
+        self.ask = ex.FirstAsk(self.hi, (self.lo >> np.uint64(32)).astype(np.uint32), self.id, self.node)
 
 
-def _common(nodes: DataFrame, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, in order, of the shingles that are common in a sample, and in how many of its nodes each is."""
-    share = min(1.0, SAMPLE / max(nodes.count(), 1))
-    sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_003)) < share * 1_000_003)
+def _common(chunks: DataFrame, text_col: str, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, of the shingles that are common in a sample, and in how many of its texts each is."""
+    rows = chunks.select(F.sum(F.octet_length("digests") / 32)).first()[0] or 0
+    share = min(1.0, SAMPLE / max(rows, 1))
 
-    def explode(part: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(np.concatenate([shingles(x, words_per_shingle) for x in part.column("text").to_pylist()]).view(np.int64))], names=["cell"])
+    def explode(row: dict):
+        hi, _ = ex.unpack_all(row["more"])
+        texts = ex.rows_of(row["payload"]).column(text_col)
+        chosen = np.flatnonzero((hi >> np.uint64(40)).astype(np.float64) / (1 << 24) < share)
+        found = [shingles(texts[k].as_py(), words_per_shingle) for k in chosen.tolist()]
+        if found:
+            keys, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["cell", "k"])
 
-    least = max(LEAST_COMMON, COMMON_SHARE * sample.count())
-    found = map_slices(sample, explode, "cell bigint").groupBy("cell").agg(F.count("*").alias("k")).where(F.col("k") >= least).toArrow()
+    least = max(LEAST_COMMON, COMMON_SHARE * share * rows)
+    found = chunks.select("more", "payload").mapInArrow(ex.per_chunk(explode), "cell bigint, k bigint").groupBy("cell").agg(F.sum("k").alias("k")).where(F.col("k") >= least).toArrow()
     cells, k = found.column("cell").to_numpy().astype(np.int64).view(np.uint64), found.column("k").to_numpy()
     order = np.argsort(cells)
     return cells[order], k[order]
 
 
-def _cells(nodes: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
-    """(cell, node, n, at): the first shingles of each node that others have among theirs too, and their places."""
-    common = nodes.sparkSession.sparkContext.broadcast(_common(nodes, words_per_shingle))
+def _nodes(chunks: DataFrame, similarity: float, text_col: str, words_per_shingle: int) -> DataFrame:
+    """Rows of NODE, one for each distinct set: its first shingles that others have too, and their places; the text if any."""
+    spark = chunks.sparkSession
+    common = spark.sparkContext.broadcast(_common(chunks, text_col, words_per_shingle))
+    size = chunks.select(F.sum("n_bytes")).first()[0] or 0
+    buckets = max(2 * shuffle_partitions(spark), size // BUCKET_BYTES, 1)
 
-    def first(part: pa.RecordBatch) -> pa.RecordBatch:
+    def first_cells(own: np.ndarray) -> np.ndarray:
         often, k = common.value
-        out = []
-        for text in part.column("text").to_pylist():
-            own = shingles(text, words_per_shingle)
-            if len(often):
-                place = np.minimum(np.searchsorted(often, own), len(often) - 1)
-                own = own[np.lexsort((own, np.where(often[place] == own, k[place], 0)))]
-            out.append(own[: len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1])
-        sizes = [len(x) for x in out]
-        at = np.concatenate([np.arange(x) for x in sizes]).astype(np.int32)
-        node, n = (np.repeat(part.column(c).to_numpy(), sizes) for c in ("node", "n"))
-        return pa.record_batch([pa.array(np.concatenate(out).view(np.int64)), pa.array(node), pa.array(n), pa.array(at)], names=["cell", "node", "n", "at"])
-
-    cells = map_slices(nodes.where("n > 0").select("node", "n", "text"), first, "cell bigint, node bigint, n bigint, at int")
-    return written(cells.withColumn("met", F.count("*").over(Window.partitionBy("cell"))).where("met > 1").drop("met"))
+        if len(often):
+            place = np.minimum(np.searchsorted(often, own), len(often) - 1)
+            own = own[np.lexsort((own, np.where(often[place] == own, k[place], 0)))]
+        return own[: len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1] if len(own) else own
+
+    def read(row: dict):
+        """The first row of each set in the chunk: its place, text, set and first shingles."""
+        sets, texts = _Sets(row), ex.rows_of(row["payload"]).column(text_col)
+        lead = np.sort(sets.ask.lead)
+        own = [shingles(texts[k].as_py(), words_per_shingle) for k in lead.tolist()]
+        return sets, texts, lead, own, [first_cells(x) for x in own]
+
+    def ask_sets(row: dict):
+        yield _Sets(row).ask.asks(row["chunk"], buckets)
+
+    def ask_cells(row: dict):
+        *_, cells = read(row)
+        keys, n = np.unique(np.concatenate(cells) & ex.SHORT, return_counts=True)
+        if len(keys):
+            yield ex.asks(row["chunk"], buckets, keys, [np.minimum(n, 2).astype(np.uint8)])
+
+    def node_rows(row: dict, right: pa.Table) -> pa.Table:
+        sets, texts, lead, own, cells = read(row)
+        is_set = np.array(right.column("is_set").to_pylist(), bool)
+        first = sets.ask.firsts(ex.answer_of(right.filter(pa.array(is_set)), bool))[lead]
+        flat = np.concatenate(cells)
+        _, each = np.unique(flat & ex.SHORT, return_inverse=True)
+        shared = ex.answer_of(right.filter(pa.array(~is_set)), bool).astype(bool)[each]
+        ends = np.cumsum([len(x) for x in cells])
+        pack, out = zstandard.ZstdCompressor(level=3).compress, []
+        for k, (at, mine) in enumerate(zip(lead.tolist(), own)):
+            if first[k]:
+                met = np.flatnonzero(shared[ends[k] - len(cells[k]) : ends[k]])
+                fp = int.from_bytes(majority(mine.astype(">u8").view(np.uint8).reshape(-1, 8)).tobytes(), "big", signed=True)
+                text = pack((texts[at].as_py() or "").encode()) if len(met) else None
+                out.append((int(sets.node[at]), int(sets.hi[at].view(np.int64)), int(sets.lo[at].view(np.int64)), int(sets.id[at]), len(mine), fp, cells[k][met].view(np.int64), met.astype(np.int32), text))
+        kinds = (pa.int64(),) * 6 + (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+        return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names=[x.split()[0] for x in NODE.split(", ")])
+
+    asked = ex.answered(chunks.select("chunk", "ids", "more").mapInArrow(ex.per_chunk(ask_sets), ex.ASKS), ex.is_first).withColumn("is_set", F.lit(True))
+    met = ex.answered(chunks.select("chunk", "ids", "more", "payload").mapInArrow(ex.per_chunk(ask_cells), ex.ASKS), lambda keys, n: ex.totals(keys, n) > 1).withColumn("is_set", F.lit(False))
+    return ex.with_answers(chunks.select("chunk", "ids", "more", "payload"), asked.union(met), node_rows, NODE)
 
 
 def _may(similarity: float) -> F.Column:
@@ -90,68 +148,112 @@ def _may(similarity: float) -> F.Column:
     return (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6) & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= needed)
 
 
-def _checked(pairs: DataFrame, nodes: DataFrame, words_per_shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingles are similar enough."""
-
-    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(batch.column("text").to_pylist(), batch.column("text_b").to_pylist()):
-            p, q = shingles(x, words_per_shingle), shingles(y, words_per_shingle)
-            shared = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(shared > 0 and shared >= similarity * (len(p) + len(q) - shared) - 1e-9)
-        return batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    texts = nodes.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(nodes.select(F.col("node").alias("a"), "text"), "a").join(texts, "b").select("a", "b", "text", "text_b")
-    return written(map_slices(both, compare, "a bigint, b bigint"))
-
+class _Classes:
+    """The classes of nodes, made link by link."""
+
+    def __init__(self, nodes: DataFrame, scratch: Scratch, similarity: float, words_per_shingle: int):
+        self.scratch, self.similarity, self.words = scratch, similarity, words_per_shingle
+        self.texts = nodes.where("text is not null").select("node", "text")
+        members = nodes.select("node", "n", "fp", F.explode(F.arrays_zip("cells", "at")).alias("c")).select("node", "n", "fp", "c.cells", "c.at")
+        several = members.groupBy("cells").agg(F.count("*").alias("k")).where("k > 1").select("cells")
+        self.cells = scratch.written(members.join(several, "cells").select(F.col("cells").alias("cell"), "node", "n", "at", "fp"))
+        self.links: DataFrame | None = None
+
+    def _compare(self, pairs: DataFrame) -> None:
+        """Adds the pairs (a, b) whose shingles are similar enough to the links."""
+        words, similarity = self.words, self.similarity
+        pairs = cut_lineage(pairs.selectExpr("least(a, b) a", "greatest(a, b) b").where("a <> b").distinct())
+
+        def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+            unpack, keep = zstandard.ZstdDecompressor().decompress, []
+            for x, y in zip(batch.column("text").to_pylist(), batch.column("text_b").to_pylist()):
+                p, q = (shingles(unpack(t).decode(), words) for t in (x, y))
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(shared > 0 and shared >= similarity * (len(p) + len(q) - shared) - 1e-9)
+            return batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+        few = pairs.count() <= PAIRS_SENT
+        sent = F.broadcast(pairs) if few else pairs
+        with_a = self.texts.withColumnRenamed("node", "a").join(sent, "a")
+        with_b = self.texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).join(sent, "b")
+        found = self.scratch.written(map_slices(with_a.join(with_b, ["a", "b"]).select("a", "b", "text", "text_b"), compare, "a bigint, b bigint"))
+        self.links = found if self.links is None else self.links.union(found)
+
+    def _placed(self) -> DataFrame:
+        """(cell, main, x): members of cells with several classes, and the largest of these; x: node, n, at, component."""
+        named = connected_components(self.links)
+        placed = self.cells.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        sizes = placed.groupBy("cell", "component").agg(F.count("*").alias("k"))
+        mixed = sizes.groupBy("cell").agg(F.count("*").alias("classes"), F.max(F.struct("k", "component")).getField("component").alias("main")).where("classes > 1").select("cell", "main")
+        return cut_lineage(placed.join(mixed, "cell").select("cell", "main", F.struct("node", "n", "at", "component").alias("x")))
+
+    def near_fingerprints(self) -> None:
+        """Nodes of one fingerprint with the least of them, and the least ones of fingerprints within two bits."""
+        fps = self.cells.select("fp", "node").distinct()
+        least = cut_lineage(fps.groupBy("fp").agg(F.min("node").alias("least")))
+        equal = fps.join(least, "fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
+        first, other = (least.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}")) for c in "ab")
+        near = near_pairs(least.select("fp")).join(first, "a").join(other, "b")
+        self._compare(equal.union(near.select("least_a", "least_b")))
+
+    def with_members(self, number: int) -> None:
+        """What is outside of a cell's largest class with some members of that, other ones for each number."""
+        placed = self._placed()
+        chosen = [F.min(F.struct(F.xxhash64("x.node", F.lit(number * MEMBERS + k)).alias("place"), F.col("x"))).getField("x").alias(f"y{k}") for k in range(MEMBERS)]
+        hubs = placed.where("x.component = main").groupBy("cell").agg(*chosen).select("cell", F.array_distinct(F.array(*[f"y{k}" for k in range(MEMBERS)])).alias("ys"))
+        met = placed.where("x.component <> main").join(hubs, "cell").select("x", F.explode("ys").alias("y")).where(_may(self.similarity))
+        self._compare(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+
+    def with_all(self) -> None:
+        """What is still outside of a cell's largest class with all of other classes there."""
+        placed = self._placed()
+        asks = placed.where("x.component <> main").select("cell", "x")
+        met = asks.join(placed.select("cell", F.col("x").alias("y")), "cell").where("x.component <> y.component").where(_may(self.similarity))
+        self._compare(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+
+
+def _classes(docs: DataFrame, scratch: Scratch, similarity: float, id_col: str, text_col: str, words_per_shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(chunks, nodes with component): both written."""
+
+    def keys(texts: list[bytes]) -> bytes:
+        return ex.pack_all(_keys([shingles(x.decode(), words_per_shingle) for x in texts]))
+
+    chunks = scratch.written(ex.chunks_of(docs, id_col, text_col, keys))
+    nodes = scratch.written(_nodes(chunks, similarity, text_col, words_per_shingle))
+    classes = _Classes(nodes, scratch, similarity, words_per_shingle)
+    classes.near_fingerprints()
+    for number in range(ROUNDS):
+        classes.with_members(number)
+    classes.with_all()
+    named = nodes.select("node", "hi", "lo", "least").join(connected_components(classes.links), "node", "left")
+    named = scratch.written(named.withColumn("component", F.coalesce("component", "node")))
+    scratch.drop_others(chunks, named)
+    return chunks, named
 
-def _named(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component) of all nodes, by links (a, b)."""
-    classes = connected_components(links)
-    return nodes.select("node").join(classes, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
+def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
+    """(doc_id, component_id) of every row; component_id is the smallest doc_id that links reach, null if there is none."""
+    rows = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
+    chunks, named = _classes(rows, Scratch(docs.sparkSession), similarity, "doc_id", "text", words_per_shingle)
 
-def _distinct(pairs: DataFrame) -> DataFrame:
-    return cut_lineage(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-
-
-def _classes(rows: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
-    """(node, least, component) of the nodes of rows; least is the smallest doc_id of a node, if any."""
-    nodes = written(rows.groupBy("node", "n").agg(F.min("doc_id").alias("least"), F.first("text").alias("text")))
-    cells = _cells(nodes, similarity, words_per_shingle)
-    # crowds: all nodes of a cell against the least and greatest one there
-    one = F.struct("node", "n", "at")
-    of_cell = Window.partitionBy("cell")
-    hubs = cells.select(one.alias("x"), F.min(one).over(of_cell).alias("lo"), F.max(one).over(of_cell).alias("hi")).select("x", F.explode(F.array("lo", "hi")).alias("y"))
-    links = _checked(_distinct(hubs.where(F.col("x.node") != F.col("y.node")).where(_may(similarity))), nodes, words_per_shingle, similarity)
-    # the rest: in cells with several components, all but the largest there against all
-    placed = cut_lineage(cells.join(_named(nodes, links), "node"))
-    sizes = placed.groupBy("cell", "component").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("cell").agg(F.count("*").alias("components"), F.max(F.struct("k", "component")).getField("component").alias("main")).where("components > 1").select("cell", "main")
-    placed = placed.join(mixed, "cell").select("cell", "main", F.struct("node", "n", "at", "component").alias("x"))
-    asks = placed.where("x.component <> main").select("cell", "x")
-    met = asks.join(placed.select("cell", F.col("x").alias("y")), "cell").where("x.component <> y.component").where(_may(similarity))
-    links = links.union(_checked(_distinct(met), nodes, words_per_shingle, similarity))
-    return cut_lineage(nodes.join(_named(nodes, links), "node").select("node", "least", "component"))
-
+    def told(row: dict):
+        sets = _Sets(row)
+        yield pa.record_batch([pa.array(x) for x in (sets.id, sets.hi.view(np.int64), sets.lo.view(np.int64))], names=["doc_id", "hi", "lo"])
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
-    """(doc_id, component_id) of every row; component_id is the smallest doc_id that links reach."""
-    rows = with_node(docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text"), words_per_shingle)
-    named = _classes(rows, similarity, words_per_shingle)
+    known = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias(c)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "node").join(named.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+    of_set = named.join(least, "component").select("hi", "lo", "component_id")
+    return chunks.select("chunk", "ids", "more").mapInArrow(ex.per_chunk(told), "doc_id bigint, hi bigint, lo bigint").join(of_set, ["hi", "lo"]).select(known("doc_id"), known("component_id"))
 
 
-def first_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
-    """One row of each class, all columns kept: a text with the smallest doc_id, or any if the class has null ids only."""
-    named = _classes(with_node(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), words_per_shingle), similarity, words_per_shingle)
-    first = named.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("x")).select("x.node", "x.least")
+def first_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
+    """One row of each class, all columns kept: one with the smallest doc_id, or any if the class has null ids only."""
+    chunks, named = _classes(docs, Scratch(docs.sparkSession), similarity, id_col, text_col, words_per_shingle)
+    first = named.groupBy("component").agg(F.min(F.struct("least", "node")).getField("node").alias("node"))
+    kept = first.select(F.shiftright("node", SLICE_ROWS.bit_length() - 1).alias("chunk"), F.col("node").bitwiseAND(F.lit(SLICE_ROWS - 1)).cast("int").alias("row"))
 
-    def number(part: pa.RecordBatch) -> pa.RecordBatch:
-        node = [xxhash.xxh64_intdigest(shingles(x, words_per_shingle).tobytes(), 42) for x in part.column("text").to_pylist()]
-        return part.append_column("node", pa.array(np.array(node, np.uint64).view(np.int64)))
+    def keep(row: dict, right: pa.Table) -> pa.Table:
+        rows = ex.rows_of(row["payload"])
+        return pa.Table.from_batches([rows.take(pa.array(np.sort(right.column("row").to_numpy())))])
 
-    kept = map_slices(docs, number, table_schema(docs, "node bigint")).join(first, "node").where(F.col("doc_id").eqNullSafe(F.col("least")))
-    return kept.dropDuplicates(["node"]).select(docs.columns)
+    return ex.with_answers(chunks.select("chunk", "payload"), kept, keep, table_schema(docs))
