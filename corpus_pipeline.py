@@ -1,7 +1,8 @@
 """Five stages from raw documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir), where docs is what the stage before wrote, and returns a frame; all but the
-last keep the columns of documents.
+last keep the columns of documents. Null and empty texts have no language and go in the first stage; each stage takes them
+all the same, as its operator's module states, and gives no rows for no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of texts whose five-word shingles have a similarity of 0.8 or more, one with the smallest id stays.
 
-    Rows are told apart by their texts, not their ids: of a class with null ids only, one stays; of unlike texts under
-    one id, each goes or stays by its own class.
+    SimHash probes link the nearest copies, an exact join the rest. Rows are told apart by their texts, not their ids: of
+    a class with null ids only, one stays; of unlike texts under one id, each goes or stays by its own class.
     """
     return simhash_copies.first_copies(docs, similarity=0.8, words_per_shingle=5)
 
