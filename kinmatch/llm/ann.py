@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from kinmatch.llm.common import cut_lineage
 
-SHARD_VECTORS, BLOCK_QUERIES = 4096, 512
+SHARD_VECTORS, BLOCK_QUERIES = 4096, 8192
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, AT_ONCE, BATCH = 32, 64, 80, 1.2, 4, 512
 FOUND = "query_id bigint, vec_id bigint, score double"
 
