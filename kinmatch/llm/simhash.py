@@ -166,52 +166,64 @@ def _flips(bits: list[int], threshold: int) -> list[int]:
     return [_signed(x) for x in out]
 
 
-def _meeting(crowd: DataFrame, bits: list[int], most: int) -> DataFrame:
-    """Links among fingerprints that differ in bits alone: they meet at those one bit away, each with the least there."""
-    meeting = crowd.select("fp", F.explode(F.array(*[F.lit(x).cast("bigint") for x in _flips(bits, 1 if most == 2 else 0)])).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("place"))
-    return meeting.join(meeting.groupBy("place").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1"), "place").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+def _paired(there: DataFrame, asks: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Links (a, b) among fingerprints at one value: those that stand there with those that ask there."""
+    both = there.join(asks.withColumnRenamed("fp", "other"), keys).where((F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= most))
+    return both.select(F.col("fp").alias("a"), F.col("other").alias("b"))
 
 
-def _crowded(crowd: DataFrame, bits: list[int], most: int) -> DataFrame:
-    """Links among fingerprints that agree in bits with many others.
+def _meeting(flipped: DataFrame) -> DataFrame:
+    """Links among fingerprints fp that meet at a place within one bit of them, each with the least there."""
+    places = flipped.select("fp", F.explode("flips").alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("place"))
+    least = places.groupBy("place").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
+    return places.join(least, "place").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
 
-    Two of them that differ in at most t of the other bits agree in one of t + 1 parts of those too, so each is dealt
-    once for each such part; values still crowded then are joined by flips of the bits that are left.
-    """
-    others = [b for b in range(BITS) if b not in bits]
-    links = None
-    for part in range(most + 1):
-        fixed = bits + others[part :: most + 1]
-        dealt = crowd.select("fp", _part(F.col("fp"), fixed).alias("value"))
-        sizes = dealt.groupBy("value").agg(F.count("*").alias("n"))
-        few = dealt.join(sizes.where(f"n > 1 and n <= {PAIRED_AT_MOST}").select("value"), "value")
-        paired = few.join(few.select("value", F.col("fp").alias("other")), "value").where((F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= most)).select(F.col("fp").alias("a"), F.col("other").alias("b"))
-        many = dealt.join(sizes.where(f"n > {PAIRED_AT_MOST}").select("value"), "value").select("fp")
-        found = paired.union(_meeting(many, [b for b in others if b not in fixed], most))
-        links = found if links is None else links.union(found)
-    return links
+
+def _numbers(values) -> Column:
+    """Numbers, or lists of lists of them, as a column."""
+    return F.array(*map(_numbers, values)) if isinstance(values, list) else F.lit(values).cast("bigint")
 
 
 def near_pairs(fps: DataFrame, most: int = 2) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of distinct fingerprints fp that differ in at most two bits."""
-    if most > 2:
-        raise ValueError("links are worked out for up to two differing bits")
+    """Links (a, b) whose components are those of all pairs of distinct fingerprints fp that differ in at most two bits.
+
+    All parts are probed in one join. Crowded values of parts that are probed without flips are dealt again: two
+    fingerprints that differ in at most two of the other bits agree in one of three parts of those too, so each is dealt
+    once for each such part; values still crowded then are joined by flips of the bits that are left.
+    """
+    if most != 2:
+        raise ValueError("links are worked out for two differing bits")
     n, both = bit_statistics(fps)
-    links = None
-    for number, (bits, threshold) in enumerate(plan(n, both, most)):
-        flips = F.array(*[F.lit(x).cast("bigint") for x in _flips(bits, threshold)])
-        own = fps.select("fp", _part(F.col("fp"), bits).alias("value"))
-        # each fingerprint stands at its own value; those with a threshold also ask at the values near it
-        asked = fps.select("fp", F.explode(flips).alias("flip")).select("fp", _part(F.col("fp"), bits).bitwiseXOR(F.col("flip")).alias("value")) if threshold else own
-        sizes = (asked if threshold else own).groupBy("value").agg(F.count("*").alias("n"))
-        few, many = sizes.where(f"n > 1 and n <= {PAIRED_AT_MOST}").select("value"), sizes.where(f"n > {PAIRED_AT_MOST}").select("value")
-        there = own.join(few, "value")
-        asks = (asked.join(few, "value") if threshold else there).select("value", F.col("fp").alias("other"))
-        paired = there.join(asks, "value").where((F.col("fp") < F.col("other") if not threshold else F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= most)).select(F.col("fp").alias("a"), F.col("other").alias("b"))
-        crowd = asked.join(many, "value").select("fp").distinct() if threshold else own.join(many, "value").select("fp")
-        joined = _crowded(crowd, bits, most) if not threshold else _meeting(crowd, list(range(BITS)), most)
-        links = paired.union(joined) if links is None else links.union(paired).union(joined)
-    return links.distinct()
+    parts = plan(n, both, most)
+    value = lambda bits: _part(F.col("fp"), bits)
+    own = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("part"), value(bits).alias("value")) for k, (bits, _) in enumerate(parts)])).alias("p")).select("fp", "p.*")
+
+    def near(k: int, bits: list[int], threshold: int) -> Column:
+        return F.transform(_numbers(_flips(bits, threshold)), lambda x: F.struct(F.lit(k).alias("part"), value(bits).bitwiseXOR(x).alias("value")))
+
+    flipped = [near(k, *part) for k, part in enumerate(parts)]
+    # each fingerprint stands at its own values; where a part has a threshold it also asks at the values near them
+    asked = fps.select("fp", F.explode(F.flatten(F.array(*flipped))).alias("p")).select("fp", "p.*")
+    sizes = asked.groupBy("part", "value").agg(F.count("*").alias("n"))
+    few, many = sizes.where(f"n > 1 and n <= {PAIRED_AT_MOST}").drop("n"), sizes.where(f"n > {PAIRED_AT_MOST}").drop("n")
+    links = _paired(own.join(few, ["part", "value"]), asked.join(few, ["part", "value"]), ["part", "value"], most)
+
+    left = [[b for b in range(BITS) if b not in bits] for bits, _ in parts]
+    again = [[bits + others[j :: most + 1] for j in range(most + 1)] for (bits, _), others in zip(parts, left)]
+    masks = _numbers([[_signed(sum(1 << b for b in fixed)) for fixed in x] for x in again])
+    rest = [[_flips([b for b in range(BITS) if b not in fixed], 1) for fixed in x] for x in again]
+    crowd = asked.join(many, ["part", "value"])
+    probed = [k for k, (_, t) in enumerate(parts) if t]
+    plain = crowd.where(~F.col("part").isin(probed)) if probed else crowd
+    dealt = plain.select("fp", "part", F.posexplode(F.get(masks, F.col("part"))).alias("again", "mask")).select("fp", "part", "again", F.col("fp").bitwiseAND(F.col("mask")).alias("value"))
+    keys = ["part", "again", "value"]
+    sizes = dealt.groupBy(*keys).agg(F.count("*").alias("n"))
+    few_dealt = dealt.join(sizes.where(f"n > 1 and n <= {PAIRED_AT_MOST}").drop("n"), keys)
+    links = links.union(_paired(few_dealt, few_dealt, keys, most))
+    crowded = dealt.join(sizes.where(f"n > {PAIRED_AT_MOST}").drop("n"), keys).select("fp", F.get(F.get(_numbers(rest), F.col("part")), F.col("again")).alias("flips"))
+    if probed:
+        crowded = crowded.union(crowd.where(F.col("part").isin(probed)).select("fp").distinct().select("fp", _numbers(_flips(list(range(BITS)), 1)).alias("flips")))
+    return links.union(_meeting(crowded)).distinct()
 
 
 def near_duplicates(docs: DataFrame, most: int = 2, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:

@@ -243,6 +243,10 @@ def test_simhash(spark, docs, empty):
     got = simhash.near_duplicates(docs).collect()
     fp = {i: plain(t) for i, t in ROWS}
     assert len(got) == len(ROWS) and all(int(r.fingerprint, 16) == fp[r.doc_id] for r in got)
+    reach = {i: {i} for i in fp}
+    for _ in fp:
+        reach = {i: set().union(*(reach[j] for j in fp if j in reach[i] or (fp[i] ^ fp[j]).bit_count() <= 2)) for i in fp}
+    assert all(r.component_id == min(reach[r.doc_id]) for r in got)
     assert simhash.near_duplicates(empty).count() == 0
 
 
