@@ -6,8 +6,8 @@ they propose is compared on the shingles. That makes the classes of crowds of co
 
 No link may be missed, so an exact join finds the rest. If all sets are read in one order, two sets that similar share a
 shingle among the first n - ceil(similarity * n) + 1 of each, so every pair to link meets in the cell of such a shingle.
-Any order will do; shingles that are common in a sample come last, which keeps cells small. Documents lie in chunks,
-which ask for their first shingles whether others have them too (exchange.py), so only those that do are dealt to cells.
+Any order will do: rare shingles come first, so a text of which a fifth is its own meets none. Documents lie in chunks,
+which ask how frequent their shingles are (exchange.py), and only first shingles that others have too become cells.
 In a cell that holds several classes, the members outside of its largest class are compared with a few members of that,
 over several rounds with other members; classes grow meanwhile. Only what is still apart then is compared with all of the cell.
 
@@ -33,16 +33,14 @@ from kinmatch.llm.common import SLICE_ROWS, Scratch, cut_lineage, map_slices, sh
 from kinmatch.llm.components import connected_components
 from kinmatch.llm.simhash import majority, near_pairs, shingle_digests
 
-#: A shingle is common if it is in this share of the sampled texts and in so many of them, so a bounded number of them is.
-COMMON_SHARE, LEAST_COMMON = 5e-4, 8
-#: Texts of the sample, in expectation.
-SAMPLE = 50_000
-#: Rounds of comparisons with members of a cell's largest class, and how many members each.
-ROUNDS, MEMBERS = 2, 4
+#: Shingles that are more frequent have no order by frequency among themselves.
+MOST_COUNTED = 65_535
+#: Rounds, at most, of comparisons with members of a cell's largest class, and how many members each.
+ROUNDS, MEMBERS = 6, 4
 #: Pairs, of 16 bytes each, that are sent to all tasks; more are joined by a shuffle.
 PAIRS_SENT = 500_000
 #: Bytes of text, in expectation, whose shingles a bucket of questions sees.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 NO_ID = 2**63 - 1
 NODE = "node bigint, hi bigint, lo bigint, least bigint, n bigint, fp bigint, cells array<bigint>, at array<int>, text binary"
 
@@ -68,77 +66,48 @@ class _Sets:
         self.ask = ex.FirstAsk(self.hi, (self.lo >> np.uint64(32)).astype(np.uint32), self.id, self.node)
 
 
-def _common(chunks: DataFrame, text_col: str, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, in order, of the shingles that are common in a sample, and in how many of its texts each is."""
-    rows = chunks.select(F.sum(F.octet_length("digests") / 32)).first()[0] or 0
-    share = min(1.0, SAMPLE / max(rows, 1))
-
-    def explode(row: dict):
-        hi, _ = ex.unpack_all(row["more"])
-        texts = ex.rows_of(row["payload"]).column(text_col)
-        chosen = np.flatnonzero((hi >> np.uint64(40)).astype(np.float64) / (1 << 24) < share)
-        found = [shingles(texts[k].as_py(), words_per_shingle) for k in chosen.tolist()]
-        if found:
-            keys, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["cell", "k"])
-
-    least = max(LEAST_COMMON, COMMON_SHARE * share * rows)
-    found = chunks.select("more", "payload").mapInArrow(ex.per_chunk(explode), "cell bigint, k bigint").groupBy("cell").agg(F.sum("k").alias("k")).where(F.col("k") >= least).toArrow()
-    cells, k = found.column("cell").to_numpy().astype(np.int64).view(np.uint64), found.column("k").to_numpy()
-    order = np.argsort(cells)
-    return cells[order], k[order]
-
-
 def _nodes(chunks: DataFrame, similarity: float, text_col: str, words_per_shingle: int) -> DataFrame:
     """Rows of NODE, one for each distinct set: its first shingles that others have too, and their places; the text if any."""
     spark = chunks.sparkSession
-    common = spark.sparkContext.broadcast(_common(chunks, text_col, words_per_shingle))
     size = chunks.select(F.sum("n_bytes")).first()[0] or 0
     buckets = max(2 * shuffle_partitions(spark), size // BUCKET_BYTES, 1)
 
-    def first_cells(own: np.ndarray) -> np.ndarray:
-        often, k = common.value
-        if len(often):
-            place = np.minimum(np.searchsorted(often, own), len(often) - 1)
-            own = own[np.lexsort((own, np.where(often[place] == own, k[place], 0)))]
-        return own[: len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1] if len(own) else own
-
     def read(row: dict):
-        """The first row of each set in the chunk: its place, text, set and first shingles."""
+        """The first row of each set in the chunk: its place, text and set."""
         sets, texts = _Sets(row), ex.rows_of(row["payload"]).column(text_col)
         lead = np.sort(sets.ask.lead)
-        own = [shingles(texts[k].as_py(), words_per_shingle) for k in lead.tolist()]
-        return sets, texts, lead, own, [first_cells(x) for x in own]
+        return sets, texts, lead, [shingles(texts[k].as_py(), words_per_shingle) for k in lead.tolist()]
 
     def ask_sets(row: dict):
         yield _Sets(row).ask.asks(row["chunk"], buckets)
 
-    def ask_cells(row: dict):
-        *_, cells = read(row)
-        keys, n = np.unique(np.concatenate(cells) & ex.SHORT, return_counts=True)
+    def ask_shingles(row: dict):
+        *_, own = read(row)
+        keys, n = np.unique(np.concatenate(own) & ex.SHORT, return_counts=True)
         if len(keys):
-            yield ex.asks(row["chunk"], buckets, keys, [np.minimum(n, 2).astype(np.uint8)])
+            yield ex.asks(row["chunk"], buckets, keys, [np.minimum(n, MOST_COUNTED).astype(np.uint16)])
 
     def node_rows(row: dict, right: pa.Table) -> pa.Table:
-        sets, texts, lead, own, cells = read(row)
+        sets, texts, lead, own = read(row)
         is_set = np.array(right.column("is_set").to_pylist(), bool)
         first = sets.ask.firsts(ex.answer_of(right.filter(pa.array(is_set)), bool))[lead]
-        flat = np.concatenate(cells)
-        _, each = np.unique(flat & ex.SHORT, return_inverse=True)
-        shared = ex.answer_of(right.filter(pa.array(~is_set)), bool).astype(bool)[each]
-        ends = np.cumsum([len(x) for x in cells])
+        _, each = np.unique(np.concatenate(own) & ex.SHORT, return_inverse=True)
+        often = ex.answer_of(right.filter(pa.array(~is_set)), np.uint16)[each]
+        ends = np.cumsum([len(x) for x in own])
         pack, out = zstandard.ZstdCompressor(level=3).compress, []
-        for k, (at, mine) in enumerate(zip(lead.tolist(), own)):
-            if first[k]:
-                met = np.flatnonzero(shared[ends[k] - len(cells[k]) : ends[k]])
+        for at, mine, end, new in zip(lead.tolist(), own, ends.tolist(), first.tolist()):
+            if new:
+                k = often[end - len(mine) : end]
+                prefix = np.lexsort((mine, k))[: len(mine) - int(np.ceil(similarity * len(mine) - 1e-6)) + 1] if len(mine) else np.zeros(0, np.int64)
+                met = np.flatnonzero(k[prefix] > 1)
                 fp = int.from_bytes(majority(mine.astype(">u8").view(np.uint8).reshape(-1, 8)).tobytes(), "big", signed=True)
                 text = pack((texts[at].as_py() or "").encode()) if len(met) else None
-                out.append((int(sets.node[at]), int(sets.hi[at].view(np.int64)), int(sets.lo[at].view(np.int64)), int(sets.id[at]), len(mine), fp, cells[k][met].view(np.int64), met.astype(np.int32), text))
+                out.append((int(sets.node[at]), int(sets.hi[at].view(np.int64)), int(sets.lo[at].view(np.int64)), int(sets.id[at]), len(mine), fp, mine[prefix[met]].view(np.int64), met.astype(np.int32), text))
         kinds = (pa.int64(),) * 6 + (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
         return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names=[x.split()[0] for x in NODE.split(", ")])
 
     asked = ex.answered(chunks.select("chunk", "ids", "more").mapInArrow(ex.per_chunk(ask_sets), ex.ASKS), ex.is_first).withColumn("is_set", F.lit(True))
-    met = ex.answered(chunks.select("chunk", "ids", "more", "payload").mapInArrow(ex.per_chunk(ask_cells), ex.ASKS), lambda keys, n: ex.totals(keys, n) > 1).withColumn("is_set", F.lit(False))
+    met = ex.answered(chunks.select("chunk", "ids", "more", "payload").mapInArrow(ex.per_chunk(ask_shingles), ex.ASKS), lambda keys, n: np.minimum(ex.totals(keys, n), MOST_COUNTED).astype(np.uint16)).withColumn("is_set", F.lit(False))
     return ex.with_answers(chunks.select("chunk", "ids", "more", "payload"), asked.union(met), node_rows, NODE)
 
 
@@ -159,8 +128,8 @@ class _Classes:
         self.cells = scratch.written(members.join(several, "cells").select(F.col("cells").alias("cell"), "node", "n", "at", "fp"))
         self.links: DataFrame | None = None
 
-    def _compare(self, pairs: DataFrame) -> None:
-        """Adds the pairs (a, b) whose shingles are similar enough to the links."""
+    def _compare(self, pairs: DataFrame) -> bool:
+        """Adds the pairs (a, b) whose shingles are similar enough to the links; whether there are any."""
         words, similarity = self.words, self.similarity
         pairs = cut_lineage(pairs.selectExpr("least(a, b) a", "greatest(a, b) b").where("a <> b").distinct())
 
@@ -178,6 +147,7 @@ class _Classes:
         with_b = self.texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).join(sent, "b")
         found = self.scratch.written(map_slices(with_a.join(with_b, ["a", "b"]).select("a", "b", "text", "text_b"), compare, "a bigint, b bigint"))
         self.links = found if self.links is None else self.links.union(found)
+        return not found.isEmpty()
 
     def _placed(self) -> DataFrame:
         """(cell, main, x): members of cells with several classes, and the largest of these; x: node, n, at, component."""
@@ -196,13 +166,13 @@ class _Classes:
         near = near_pairs(least.select("fp")).join(first, "a").join(other, "b")
         self._compare(equal.union(near.select("least_a", "least_b")))
 
-    def with_members(self, number: int) -> None:
-        """What is outside of a cell's largest class with some members of that, other ones for each number."""
+    def with_members(self, number: int) -> bool:
+        """What is outside of a cell's largest class with some members of that, other ones for each number; whether links come of it."""
         placed = self._placed()
         chosen = [F.min(F.struct(F.xxhash64("x.node", F.lit(number * MEMBERS + k)).alias("place"), F.col("x"))).getField("x").alias(f"y{k}") for k in range(MEMBERS)]
         hubs = placed.where("x.component = main").groupBy("cell").agg(*chosen).select("cell", F.array_distinct(F.array(*[f"y{k}" for k in range(MEMBERS)])).alias("ys"))
         met = placed.where("x.component <> main").join(hubs, "cell").select("x", F.explode("ys").alias("y")).where(_may(self.similarity))
-        self._compare(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+        return self._compare(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
 
     def with_all(self) -> None:
         """What is still outside of a cell's largest class with all of other classes there."""
@@ -222,8 +192,9 @@ def _classes(docs: DataFrame, scratch: Scratch, similarity: float, id_col: str,
     nodes = scratch.written(_nodes(chunks, similarity, text_col, words_per_shingle))
     classes = _Classes(nodes, scratch, similarity, words_per_shingle)
     classes.near_fingerprints()
-    for number in range(ROUNDS):
-        classes.with_members(number)
+    number = 0
+    while number < ROUNDS and classes.with_members(number):
+        number += 1
     classes.with_all()
     named = nodes.select("node", "hi", "lo", "least").join(connected_components(classes.links), "node", "left")
     named = scratch.written(named.withColumn("component", F.coalesce("component", "node")))
