@@ -15,7 +15,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType, LongType, StringType
 
 # The nine scripts whose combining marks are kept, as inclusive ranges of code points.
 INDIC_RANGES = ((0x0900, 0x097F), (0x0980, 0x09FF), (0x0A00, 0x0A7F), (0x0A80, 0x0AFF), (0x0B00, 0x0B7F), (0x0B80, 0x0BFF), (0x0C00, 0x0C7F), (0x0C80, 0x0CFF), (0x0D00, 0x0D7F))
@@ -62,23 +62,33 @@ def main_script(text: str | None) -> str:
     return found.most_common(1)[0][0].title() if found else "None"
 
 
+def _places(text: str) -> dict[str, int]:
+    """Of each character the places where it stands, as bits."""
+    out: dict[str, int] = {}
+    for k, x in enumerate(text):
+        out[x] = out.get(x, 0) | 1 << k
+    return out
+
+
 def jaro_winkler_of(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
     if a == b:
         return 1.0
     reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    taken, mine = [False] * len(b), []
+    places, near, free, mine = _places(b), (1 << 2 * reach + 1) - 1, (1 << len(b)) - 1, []
+    taken = 0
     for i, x in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == x:
-                taken[j] = True
-                mine.append(x)
-                break
+        within = near << i - reach if i >= reach else near >> reach - i
+        if hit := places.get(x, 0) & within & free:
+            hit &= -hit
+            free ^= hit
+            taken |= hit
+            mine.append(x)
     if not mine:
         return 0.0
     m = len(mine)
-    turned = sum(x != y for x, y in zip(mine, (y for y, t in zip(b, taken) if t))) // 2
+    turned = sum(x != y for x, y in zip(mine, (y for k, y in enumerate(b) if taken >> k & 1))) // 2
     jaro = (m / len(a) + m / len(b) + (m - turned) / m) / 3
     prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(4, len(a), len(b)))
     return jaro + 0.1 * prefix * (1 - jaro) if jaro > 0.7 else jaro
@@ -88,12 +98,12 @@ def _indel(a: str, b: str) -> float:
     """2 * longest common subsequence / total length."""
     if not a and not b:
         return 1.0
-    row = [0] * (len(b) + 1)
+    places, full = _places(b), (1 << len(b)) - 1
+    row = full  # a zero bit for each step up in the row of lengths
     for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
+        hit = row & places.get(x, 0)
+        row = (row + hit | row - hit) & full
+    return 2 * (len(b) - row.bit_count()) / (len(a) + len(b))
 
 
 def token_set_ratio_of(a: str, b: str) -> float:
@@ -123,20 +133,33 @@ def dominant_script(s: pd.Series) -> pd.Series:
     return s.map(main_script)
 
 
+def _of_pairs(measure, a: pd.Series, b: pd.Series) -> pd.Series:
+    """measure of each pair, worked out once for pairs that repeat in the batch."""
+    pairs = list(zip(a.fillna(""), b.fillna("")))
+    known = {x: measure(*x) for x in set(pairs)}
+    return pd.Series([known[x] for x in pairs], dtype="float64")
+
+
 @F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler_of(x or "", y or "") for x, y in zip(a, b)])
+    return _of_pairs(jaro_winkler_of, a, b)
 
 
 @F.pandas_udf(DoubleType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_ratio_of(x or "", y or "") for x, y in zip(a, b)])
+    return _of_pairs(token_set_ratio_of, a, b)
 
 
 def stable_number(text: str, seed: str = "") -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}:{text}".encode() if seed else text.encode(), digest_size=8).digest(), "big")
 
 
+@F.pandas_udf(LongType())
+def seeded_hash(ids: pd.Series, seed: pd.Series) -> pd.Series:
+    """The seeded hash as a signed number of the same order."""
+    return pd.Series([stable_number(x, y) - (1 << 63) for x, y in zip(ids, seed)], dtype="int64")
+
+
 @F.pandas_udf(StringType())
 def entity_split(ids: pd.Series) -> pd.Series:
     """fit (70 in 100), cal (15) or tune (15) by a hash of the id."""
@@ -157,6 +180,22 @@ def clean_latin(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(lower, r"[\p{P}\p{S}\p{C}]+", " "), r"\s+", " "))
 
 
+def _plainly(text: str) -> str:
+    """What clean_latin() makes of a text."""
+    lower = text.lower().translate(str.maketrans(*_accents())).replace("ß", "ss")
+    return regex.sub(r"[ \t\n\x0b\f\r]+", " ", _DROPPED.sub(" ", lower)).strip(" ")
+
+
+#: A character that clean_latin() reads otherwise than clean(): found by trying each below U+0250; all from there on count.
+_NOT_PLAIN = "[" + "".join(f"\\x{{{c:X}}}" for c in range(0x250) if _plainly(f"a{chr(c)}a") != clean(f"a{chr(c)}a")) + "\\x{250}-\\x{10FFFF}]"
+
+
+def clean_text(text: Column) -> Column:
+    """clean() of any text: built-in functions where they give the same, Python for the other rows only."""
+    other = F.regexp_like(text, F.lit(_NOT_PLAIN))
+    return F.when(other, clean_text_udf(F.when(other, text))).otherwise(clean_latin(text))
+
+
 def tokens(cleaned: Column) -> Column:
     return F.when(cleaned == "", F.array().cast("array<string>")).otherwise(F.split(cleaned, " "))
 

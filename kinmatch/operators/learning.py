@@ -8,27 +8,54 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinmatch.functions import text as T
 from kinmatch.operators.pairs import linear_score
 
 
-def stratified_split(records: DataFrame, dev: int, confirm: int, seed: str = "0") -> DataFrame:
-    """(country, singleton, id, part): two disjoint samples with the strata's shares, by largest remainders and a hash order."""
+def largest_remainders(n: int, capacity: dict[tuple, int]) -> dict[tuple, int]:
+    """n dealt to strata in proportion to what they hold; what is left by rounding down goes to the largest remainders."""
+    whole = sum(capacity.values())
+    if n < 0 or n > whole:
+        raise ValueError(f"{n} of {whole} records cannot be taken")
+    exact = {k: n * v / whole for k, v in capacity.items()} if whole else {}
+    out = {k: int(x) for k, x in exact.items()}
+    for k in sorted(capacity, key=lambda k: (out[k] - exact[k], str(k)))[: n - sum(out.values())]:
+        out[k] += 1
+    return out
+
+
+def hash_order(records: DataFrame, strata: list[str], key: Column, key_id: str) -> DataFrame:
+    """records with place, from 1, in their stratum by key (a hash, bigint) and id.
+
+    No task sees a whole stratum: rows are numbered inside slices of the hash, and slices by their sizes.
+    """
+    sliced = records.withColumn("key", key).withColumn("slice", F.shiftright("key", 50))
+    sizes = sliced.groupBy(*strata, "slice").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*strata).orderBy("slice")) - F.col("n")
+    inside = F.row_number().over(Window.partitionBy(*strata, "slice").orderBy("key", key_id))
+    return sliced.withColumn("inside", inside).join(sizes.withColumn("before", before).drop("n"), [*strata, "slice"]).withColumn("place", F.col("before") + F.col("inside")).drop("key", "slice", "inside", "before")
+
+
+def stratified_split(records: DataFrame, dev: int, confirm: int, seed: int = 42, key: Column | None = None) -> DataFrame:
+    """(country, singleton, id, part): two disjoint samples with the strata's shares, the first ones by a seeded hash.
+
+    The second sample is dealt over what the first leaves. Repeated ids and samples larger than the records are errors.
+    key: another hash of the id than BLAKE2b.
+    """
     strata = ["country", "singleton"]
-    sizes = records.groupBy(*strata).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    quotas = sizes
-    for name, size in (("dev_n", dev), ("confirm_n", confirm)):
-        exact = F.lit(size) * F.col("n") / total
-        quotas = quotas.withColumn("exact", exact).withColumn("whole", F.floor("exact"))
-        short = F.lit(size) - F.sum("whole").over(Window.partitionBy(F.lit(1)))
-        place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round(F.col("exact") - F.col("whole"), 9)), *strata))
-        quotas = quotas.withColumn(name, F.col("whole") + (place <= short).cast("int")).drop("exact", "whole")
-    order = Window.partitionBy(*strata).orderBy(F.md5(F.concat_ws(":", F.lit(seed), "id")), "id")
-    placed = records.withColumn("r", F.row_number().over(order)).join(quotas, strata)
-    part = F.when(F.col("r") <= F.col("dev_n"), "dev").when(F.col("r") <= F.col("dev_n") + F.col("confirm_n"), "confirm")
+    sizes = {(r.country, r.singleton): r.n for r in records.groupBy(*strata).agg(F.count("*").alias("n")).collect()}
+    if dev < 0 or confirm < 0 or dev + confirm > sum(sizes.values()):
+        raise ValueError(f"{dev} and {confirm} of {sum(sizes.values())} records cannot be taken")
+    if records.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("an id is there more than once")
+    first = largest_remainders(dev, sizes)
+    second = largest_remainders(confirm, {k: n - first[k] for k, n in sizes.items()})
+    quotas = records.sparkSession.createDataFrame([(*k, first[k], second[k]) for k in sizes], "country string, singleton boolean, dev_n bigint, confirm_n bigint")
+    placed = hash_order(records.select(*strata, "id"), strata, T.seeded_hash(F.col("id").cast("string"), F.lit(str(seed))) if key is None else key, "id").join(quotas, strata)
+    part = F.when(F.col("place") <= F.col("dev_n"), "dev").when(F.col("place") <= F.col("dev_n") + F.col("confirm_n"), "confirm")
     return placed.withColumn("part", part).where("part is not null").select(*strata, "id", "part")
 
 

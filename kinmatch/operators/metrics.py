@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,21 +67,24 @@ def average_precision(rows: DataFrame, value: str, label: str = "label") -> Data
     return by_value.withColumn("precision", F.sum("pos").over(down) / F.sum("n").over(down)).agg((F.sum(F.col("precision") * F.col("pos")) / F.sum("pos")).alias("average_precision"))
 
 
-def bootstrap(scores: DataFrame, replicates: int, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """One row (point, ci_low, ci_high) for scores (country, q, score), resampled within countries.
+def bootstrap(scores: DataFrame, replicates: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """One row (point, ci_low, ci_high) for scores (country, q, score), resampled within countries at their own sizes.
 
-    Each replicate weighs every entity by a Poisson(1) number drawn from a hash of seed, replicate and entity.
+    Drawing n of n entities draws how often each distinct score comes up, a multinomial over the counts of scores; so a
+    country is resampled from its counts, and no task holds its entities. With few entities or many the draws are alike.
     """
-    drawn = scores.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "rep", "country", "q")), 1, 8), 16, 10).cast("bigint"), F.lit(1_000_000)) / 1_000_000.0
-    # the distribution function of Poisson(1), up to six
-    steps, term, total = [], 0.36787944117144233, 0.0
-    for k in range(7):
-        total += term
-        steps.append(total)
-        term /= k + 1
-    weight = sum(((u >= s).cast("int") for s in steps), F.lit(0))
-    means = drawn.withColumn("w", weight).groupBy("rep").agg((F.sum(F.col("w") * F.col("score")) / F.sum("w")).alias("m"))
+    if replicates < 1:
+        raise ValueError("at least one replicate is needed")
+    counts = scores.groupBy("country", "score").agg(F.count("*").alias("n"))
+
+    def draw(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("score")
+        n, total = part["n"].to_numpy(np.int64), int(part["n"].sum())
+        own = np.random.default_rng([seed, int.from_bytes(hashlib.blake2b(str(key[0]).encode(), digest_size=4).digest(), "big")])
+        return pd.DataFrame({"rep": np.arange(replicates), "total": own.multinomial(total, n / total, size=replicates) @ part["score"].to_numpy(), "n": total})
+
+    sums = counts.groupBy("country").applyInPandas(draw, "rep int, total double, n bigint")
+    means = sums.groupBy("rep").agg((F.sum("total") / F.sum("n")).alias("m"))
     ends = means.agg(F.percentile("m", F.lit(alpha / 2)).alias("ci_low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("ci_high")).withColumn("one", F.lit(1))
     return scores.agg(F.avg("score").alias("point")).withColumn("one", F.lit(1)).join(ends, "one").drop("one")
 

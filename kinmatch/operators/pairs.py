@@ -16,7 +16,7 @@ LEXICAL_WEIGHTS = {"name_trigram_jaccard": 0.14, "name_token_jaccard": 0.10, "na
 
 def forms(records: DataFrame) -> DataFrame:
     """Cleaned strings and distinct grams, tokens and digit keys of (country, id, name, address), worked out once a record."""
-    cleaned = records.select("country", "id", "address", T.clean_latin(F.col("name")).alias("name_clean"), T.clean_latin(F.col("address")).alias("addr_clean"))
+    cleaned = records.select("country", "id", "address", T.clean_text(F.col("name")).alias("name_clean"), T.clean_text(F.col("address")).alias("addr_clean"))
     return cleaned.select(
         "country", "id", "address", "name_clean", "addr_clean",
         F.array_distinct(T.char_ngrams(F.col("name_clean"))).alias("name_tri"), F.array_distinct(T.tokens(F.col("name_clean"))).alias("name_tok"),

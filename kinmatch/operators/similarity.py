@@ -10,29 +10,31 @@ from pyspark.sql import functions as F
 
 from kinmatch.functions import text as T
 
+Record = Callable[[str], Column]
 
-def _name_ngram(name: Column, address: Column) -> Column:
-    return T.char_ngrams(T.clean_latin(name))
 
+def _name_ngram(record: Record) -> Column:
+    return T.char_ngrams(record("name_clean"))
 
-def _name_token(name: Column, address: Column) -> Column:
-    return T.tokens(T.clean_latin(name))
 
+def _name_token(record: Record) -> Column:
+    return T.tokens(record("name_clean"))
 
-def _digit_key(name: Column, address: Column) -> Column:
-    return F.transform(T.numeric_keys(address), lambda x: F.concat(F.lit("d:"), x))
 
+def _digit_key(record: Record) -> Column:
+    return F.transform(T.numeric_keys(record("address")), lambda x: F.concat(F.lit("d:"), x))
 
-def _address(name: Column, address: Column) -> Column:
-    return F.concat(_digit_key(name, address), F.transform(T.tokens(T.clean_latin(address)), lambda x: F.concat(F.lit("a:"), x)))
+
+def _address(record: Record) -> Column:
+    return F.concat(_digit_key(record), F.transform(T.tokens(record("addr_clean")), lambda x: F.concat(F.lit("a:"), x)))
 
 
 @dataclass(frozen=True)
 class Channel:
-    """features: (name, address) to an array of features; the rest bounds the join."""
+    """features: the columns of a record, cleaned ones included, to an array of features; the rest bounds the join."""
 
     name: str
-    features: Callable[[Column, Column], Column]
+    features: Callable[[Record], Column]
     weight: float
     depth: int
     max_df: float
@@ -50,8 +52,9 @@ RRF_K = 20
 
 
 def features_of(records: DataFrame, channel: Channel) -> DataFrame:
-    """(country, id, feature), distinct. records: country, id, name, address."""
-    return records.select("country", "id", F.explode(F.array_distinct(channel.features(F.col("name"), F.col("address")))).alias("feature"))
+    """(country, id, feature), distinct. records: country, id, name, address; each is cleaned once."""
+    cleaned = records.select("country", "id", "address", T.clean_text(F.col("name")).alias("name_clean"), T.clean_text(F.col("address")).alias("addr_clean"))
+    return cleaned.select("country", "id", F.explode(F.array_distinct(channel.features(F.col))).alias("feature"))
 
 
 def idf_table(corpus: DataFrame, features: DataFrame, max_df: float) -> DataFrame:

@@ -25,6 +25,17 @@ def without_stop_tokens(tokens: Column, stop: Column) -> Column:
     return F.when(stop.isNull() | (F.size(kept) == 0), tokens).otherwise(rest)
 
 
+def core_counts(records: DataFrame, tokens: Column, frequencies: DataFrame, share: float = 0.05) -> DataFrame:
+    """(country, id, n_core) of each record (country, id): tokens that are not stop words of the country, or all if no others are left.
+
+    Tokens meet the stop words in a join, which is hashed where they are few by measured size.
+    """
+    stops = frequencies.where(F.col("frac") >= share).select("country", "token", F.lit(1).alias("stop"))
+    own = records.select("country", "id", F.monotonically_increasing_id().alias("row"), F.explode_outer(tokens).alias("token"))
+    counted = own.join(stops, ["country", "token"], "left").groupBy("row").agg(F.first("country").alias("country"), F.first("id").alias("id"), F.count("token").alias("n"), F.count("stop").alias("k"))
+    return counted.select("country", "id", F.when(F.col("k") == F.col("n"), F.col("n")).otherwise(F.col("n") - F.col("k")).alias("n_core"))
+
+
 def top_tokens(frequencies: DataFrame, k: int = 18) -> DataFrame:
     w = Window.partitionBy("country").orderBy(F.desc("cnt"), "token")
     return frequencies.withColumn("rank", F.row_number().over(w)).where(f"rank <= {k}")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinmatch.functions import text as T
-from kinmatch.operators import decisions, learning, metrics, pairs, similarity, statistics
+from kinmatch.operators import assembly, decisions, learning, metrics, pairs, similarity, statistics
 from kinmatch.plans import views as V
 from kinmatch.session import table
 
@@ -34,7 +34,7 @@ _DOC_TOKENS = f"select doc_id, lang, {V.TOKENS.format(_C)} t from documents"
 
 @query(f"select doc_id, md5({_C}) clean_md5, cast(length({_C}) as bigint) n from documents")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = T.clean_latin(F.col("text"))
+    c = T.clean_text(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(c).alias("clean_md5"), F.length(c).cast("bigint").alias("n"))
 
 
@@ -45,13 +45,13 @@ def clean_text_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with d as ({_DOC_TOKENS}) select doc_id, cast(len(t) as bigint) n_tokens, cast(len(list_distinct(t)) as bigint) n_distinct from d")
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", T.tokens(T.clean_latin(F.col("text"))).alias("t"))
+    d = table(spark, sf_dir, "documents").select("doc_id", T.tokens(T.clean_text(F.col("text"))).alias("t"))
     return d.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"))
 
 
 @query(f"with d as (select item_id, replace({V.clean_sql('text')},' ','') j from benchmark), g as (select item_id, {V.NGRAMS.format('j')} g from d) select item_id, cast(len(g) as bigint) n, cast(len(list_distinct(g)) as bigint) n_distinct, array_to_string(list_sort(list_distinct(g)),',') grams from g")
 def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "benchmark").select("item_id", T.char_ngrams(T.clean_latin(F.col("text"))).alias("g"))
+    d = table(spark, sf_dir, "benchmark").select("item_id", T.clean_text(F.col("text")).alias("cleaned")).select("item_id", T.char_ngrams(F.col("cleaned")).alias("g"))
     return d.select("item_id", F.size("g").cast("bigint").alias("n"), F.size(F.array_distinct("g")).cast("bigint").alias("n_distinct"), F.array_join(F.array_sort(F.array_distinct("g")), ",").alias("grams"))
 
 
@@ -66,7 +66,7 @@ _FORMS = "map {" + ", ".join(f"'{a}': '{b}'" for a, b in T.LEGAL_FORMS.items())
 
 @query(f"with d as (select doc_id, unnest({V.TOKENS.format(_C)}) t from documents) select doc_id, sum(case when element_at({_FORMS}, t)[1] is not null then 1 else 0 end)::bigint n_known, sum(case when coalesce(element_at({_FORMS}, t)[1], t)<>t then 1 else 0 end)::bigint n_changed from d group by 1")
 def suffix_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", T.tokens(T.clean_latin(F.col("text"))).alias("t")).select("doc_id", "t", T.written_out(F.col("t")).alias("w")).where("size(t) > 0")
+    d = table(spark, sf_dir, "documents").select("doc_id", T.tokens(T.clean_text(F.col("text"))).alias("t")).select("doc_id", "t", T.written_out(F.col("t")).alias("w")).where("size(t) > 0")
     known = F.size(F.filter("t", lambda x: x.isin(list(T.LEGAL_FORMS)))).cast("bigint")
     return d.select("doc_id", known.alias("n_known"), F.size(F.filter(F.zip_with("t", "w", lambda a, b: a != b), lambda x: x)).cast("bigint").alias("n_changed"))
 
@@ -90,7 +90,7 @@ _FREQ = f"with d as ({_DOC_TOKENS}), o as (select lang, doc_id, list_distinct(t)
 
 def _frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("lang").alias("country"), F.col("doc_id").alias("id"), "text")
-    return statistics.token_frequencies(d, T.tokens(T.clean_latin(F.col("text"))))
+    return statistics.token_frequencies(d, T.tokens(T.clean_text(F.col("text"))))
 
 
 @query(f"{_FREQ} select country, token, cnt, round(frac,9) frac from f")
@@ -105,9 +105,8 @@ def stoplist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_FREQ}, s as (select country, list(token) stop from f where frac>=0.05 group by 1), k as (select doc_id, t, case when stop is null then t else list_filter(t, lambda x: not list_contains(stop,x)) end k from d left join s on country=lang) select doc_id, cast(case when len(k)=0 then len(t) else len(k) end as bigint) n_core from k")
 def core_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stops = F.broadcast(statistics.stop_lists(_frequencies(spark, sf_dir)))  # a list a country, at most 1 / share of an average text long
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("country"), T.tokens(T.clean_latin(F.col("text"))).alias("t"))
-    return d.join(stops, "country", "left").select("doc_id", F.size(statistics.without_stop_tokens(F.col("t"), F.col("stop"))).cast("bigint").alias("n_core"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("country"), "text")
+    return statistics.core_counts(d, T.tokens(T.clean_text(F.col("text"))), _frequencies(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_core")
 
 
 @query(f"{_FREQ} select country, token, cnt, rn as rank from (select *, row_number() over(partition by country order by cnt desc, token) rn from f) where rn<=18")
@@ -186,7 +185,7 @@ def _party_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.channel_hits(q, c, [replace(similarity.CHANNELS[n], max_df=m) for n, m in (("name_ngram", 0.3), ("address", 0.2))])
 
 
-_HITS = f"with {_topk_ctes(V.PARTY_Q, V.PARTY_C, 'name_ngram', 0.3, 20, 'a_')}, {_topk_ctes(V.PARTY_Q, V.PARTY_C, 'address', 0.2, 20, 'b_')}, h as (select 0 ch, 1.0 weight, * from a_hits where rank0<20 union all select 1, 1.0, * from b_hits where rank0<20), fused as (select country, q, c, sum(weight/(20+rank0)) rrf, count(*) n_hit, min(rank0) best_rank from h group by all)"
+_HITS = f"with {_topk_ctes(V.PARTY_Q, V.PARTY_C, 'name_ngram', 0.3, 20, 'a_')}, {_topk_ctes(V.PARTY_Q, V.PARTY_C, 'address', 0.2, 20, 'b_')}, h as (select 0 ch, 1.0 weight, * from a_hits where rank0<1000 union all select 1, 1.0, * from b_hits where rank0<1000), fused as (select country, q, c, sum(weight/(20+rank0)) rrf, count(*) n_hit, min(rank0) best_rank from h group by all)"
 
 
 @query(f"{_HITS} select country, q, c, round(rrf,9) rrf, n_hit, best_rank from fused")
@@ -285,7 +284,7 @@ def rare_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOC = "list_distinct(list_filter(regexp_split_to_array(array_to_string(string_split(address,',')[-2:],' '),'\\s+'), lambda x: x<>''))"
 
 
-@query(f"{_AF}, l as (select 'q' side, country, id, unnest({_LOC}) t from q where len(string_split(address,','))>1 union all select 'c', country, id, unnest({_LOC}) from c where len(string_split(address,','))>1), w as (select side, country, id, t, ln(1+n/(1+coalesce(df,n))) w from l join n using(country) left join adf using(country,t)), s as (select side, country, id, sum(w) s from w group by all), b as (select a.country, a.id q, c.id c, sum(a.w) sh from w a join w c on a.side='q' and c.side='c' and a.country=c.country and a.t=c.t group by all) select b.country, q, c, round(sh/(x.s+y.s-sh),6) agreement from b join s x on x.side='q' and x.country=b.country and x.id=q join s y on y.side='c' and y.country=b.country and y.id=c where b.q%10=c%10")
+@query(f"{_AF}, l as (select 'q' side, country, id, unnest({_LOC}) t from q where len(string_split(address,','))>1 union all select 'c', country, id, unnest({_LOC}) from c where len(string_split(address,','))>1), w as (select side, country, id, t, ln(1+n/(1+coalesce(df,n))) w from l join n using(country) left join adf using(country,t)), s as (select side, country, id, sum(w) s from w group by all), b as (select a.country, a.id q, c.id c, sum(a.w) sh from w a join w c on a.side='q' and c.side='c' and a.country=c.country and a.t=c.t group by all) select b.country, q, c, round(sh/(x.s+y.s-sh),6) agreement from b join s x on x.side='q' and x.country=b.country and x.id=q join s y on y.side='c' and y.country=b.country and y.id=c")
 def location_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = V.parties(spark, sf_dir)
     df = pairs.address_df(pairs.forms(c))
@@ -344,9 +343,9 @@ def left_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.complete(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("q")), lists).select("q", F.array_join("matched", ",").alias("matched"))
 
 
-@query("select c_custkey q from customer where not exists (select 1 from orders where o_custkey=c_custkey)")
+@query("select c_custkey q from customer where not exists (select 1 from orders where o_custkey=c_custkey and o_orderpriority='1-URGENT')")
 def anti_unknown_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("q")).join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("q")), "q", "left_anti")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("q")).join(table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("q")), "q", "left_anti")
 
 
 _T = f"t as ({V.TRUTH}), l as ({V.LISTED})"
@@ -442,10 +441,10 @@ def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.average_precision(V.labelled(spark, sf_dir), "n_chars").select(F.round("average_precision", 9).alias("average_precision"))
 
 
-@query(f"{_E}, x as (select country, q, score, unnest(range(0,50)) rep from f), u as (select *, (('0x'||substring(md5(concat_ws(':','0',rep,country,q)),1,8))::bigint%1000000)/1000000 u from x), g as (select *, (u>=0.36787944117144233)::int+(u>=0.7357588823428847)::int+(u>=0.9196986029286058)::int+(u>=0.9810118431238462)::int+(u>=0.9963401531726563)::int+(u>=0.9994058151824183)::int+(u>=0.9999167588507119)::int w from u), m as (select rep, sum(w*score)/sum(w) m from g group by 1) select round((select avg(score) from f),9) point, round(quantile_cont(m,0.025),9) ci_low, round(quantile_cont(m,0.975),9) ci_high from m")
+@query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = metrics.bootstrap(_entity_scores(spark, sf_dir), 50)
-    return r.select(*[F.round(c, 9).alias(c) for c in ("point", "ci_low", "ci_high")])
+    """1,000 replicates; random draws have no SQL, the test holds them against draws of entities."""
+    return metrics.bootstrap(_entity_scores(spark, sf_dir))
 
 
 @query(f"with {_T} select count(*) n, round(avg(len(ids)),9) mean_candidates, quantile_cont(len(ids),0.5)::double p50, round(quantile_cont(len(ids),0.9),9)::double p90, round(quantile_cont(len(ids),0.99),9)::double p99, avg((len(ids)=0)::int) empty_rate, (select round(avg((len(matched)=0)::int),9) from t) singleton_rate, (select round(avg(len(matched)),9) from t) mean_matches from l")
@@ -497,10 +496,22 @@ def expand_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- learning -----------------------------------------------------------------------------------------------------
 
 
-@query(f"with {_T}, r as (select country, len(matched)=0 singleton, q id from t), z as (select country, singleton, count(*) n from r group by all), x as (select *, 100*n/sum(n) over() e1, 200*n/sum(n) over() e2 from z), y as (select *, floor(e1)+(row_number() over(order by round(e1-floor(e1),9) desc,country,singleton)<=100-sum(floor(e1)) over())::int d, floor(e2)+(row_number() over(order by round(e2-floor(e2),9) desc,country,singleton)<=200-sum(floor(e2)) over())::int f from x), p as (select r.*, d, f, row_number() over(partition by country,singleton order by md5(concat_ws(':','0',id)),id) rn from r join y using(country,singleton)) select country, singleton, id, case when rn<=d then 'dev' else 'confirm' end part from p where rn<=d+f")
+_SPLIT = f"""with {_T}, r as (select country, len(matched)=0 singleton, q id from t), z as (select country, singleton, count(*) n from r group by all),
+ x as (select *, least(100,sum(n) over())*n/sum(n) over() e from z),
+ d as (select country, singleton, n, floor(e)+(row_number() over(order by e-floor(e) desc,country,singleton)<=least(100,sum(n) over())-sum(floor(e)) over())::int d from x),
+ y as (select *, least(200,sum(n-d) over()) most, least(200,sum(n-d) over())*(n-d)/sum(n-d) over() e from d),
+ f as (select country, singleton, d, floor(e)+(row_number() over(order by e-floor(e) desc,country,singleton)<=any_value(most) over()-sum(floor(e)) over())::int f from y),
+ h as (select *, ('0x'||substring(md5(concat_ws(':','42',id)),1,15))::bigint h from r),
+ p as (select h.*, d, f, row_number() over(partition by country,singleton order by h,id) rn from h join f using(country,singleton))"""
+
+
+@query(f"{_SPLIT} select country, singleton, id, case when rn<=d then 'dev' else 'confirm' end part from p where rn<=d+f")
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By MD5, which SQL has; at most 100 and 200 records where there are so many."""
     rows = V.truth(spark, sf_dir).select("country", (F.size("matched") == 0).alias("singleton"), F.col("q").alias("id"))
-    return learning.stratified_split(rows, 100, 200)
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("42"), "id")), 1, 15), 16, 10).cast("bigint")
+    n = rows.count()
+    return learning.stratified_split(rows, min(100, n), min(200, max(n - 100, 0)), key=key)
 
 
 @query("select doc_id, case when h%100<70 then 'fit' when h%100<85 then 'cal' else 'tune' end part from (select doc_id, ('0x'||substring(md5(doc_id::varchar),1,8))::bigint h from documents)")
@@ -563,3 +574,83 @@ def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tasks.mapInPandas(best, "q bigint, c bigint, score double").where("score > -2")
     w = Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "c")
     return found.withColumn("r", F.row_number().over(w)).where("r <= 3").select("q", "c", F.round("score", 6).alias("score"))
+
+
+# --- assembly -----------------------------------------------------------------------------------------------------
+
+
+def _grams_of(c: str) -> str:
+    return f"list_distinct({V.NGRAMS.format(f'replace({c},chr(32),repeat(chr(32),0))')})"
+
+
+@query(f"{_PAIRS}, g as (select *, {_grams_of('qa')} qg, {_grams_of('ca')} cg from pr) select country, q, c, round(coalesce(len(list_intersect(qk,ck))/nullif(least(len(qk),len(ck)),0),0),6) containment, round({_jac('qg', 'cg')},6) addr_tri, round(rrf,9) rrf, n_hit::double n_hit, best_rank::double best_rank, (c%2)::double is_s3 from g")
+def pair_other_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = pairs.set_features()
+    rows = _party_pairs(spark, sf_dir)
+    return rows.select("country", "q", "c", F.round(f["name_token_containment"], 6).alias("containment"), F.round(f["addr_trigram_jaccard"], 6).alias("addr_tri"), F.round("rrf", 9).alias("rrf"), F.col("n_hit").cast("double").alias("n_hit"), F.col("best_rank").cast("double").alias("best_rank"), F.col("is_s3").cast("double").alias("is_s3"))
+
+
+@query()
+def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 23 features of the fused candidates; the token set ratio has no SQL."""
+    q, c = V.parties(spark, sf_dir)
+    fused = similarity.fuse_rrf(_party_hits(spark, sf_dir)).withColumns({"is_s3": F.col("c") % 2, "score": F.round("rrf", 9)})
+    return assembly.feature_frame(fused, q, c)
+
+
+_GRID = "(select * from (values " + ",".join(f"({t}::double)" for t in assembly.THRESHOLDS) + ") a(threshold), (values " + ",".join(f"({m}::double)" for m in assembly.MARGINS) + ") b(margin), (values (false),(true)) c(exclusive))"
+_SETTINGS = f"""{_S}, t as ({V.TRUTH}), g as {_GRID}, e as (select *, max(p) over(partition by country,q) best from s),
+ k as (select g.*, e.*, row_number() over(partition by threshold,margin,exclusive,country,c order by p desc,q) rn from e, g where p>=threshold and p>=best-margin),
+ u as (select threshold, margin, exclusive, k.q, count(*) n_p, count(*) filter (list_contains(matched,c)) tp, any_value(len(matched)) n_t from k join t using(q) where not exclusive or rn=1 group by all),
+ f as (select *, case when n_t=0 or tp=0 then 0 else 1.25*(tp/n_p)*(tp/n_t)/(0.25*(tp/n_p)+tp/n_t) end sc from u),
+ w as (select g.threshold, g.margin, g.exclusive, round((coalesce(sum(sc),0)+(select count(*) from t where len(matched)=0)-count(*) filter (n_t=0))/(select count(*) from t),9) macro_f05 from g left join f using(threshold,margin,exclusive) group by all)"""
+
+
+def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.setting_scores(V.scored(spark, sf_dir), V.truth(spark, sf_dir)).withColumn("macro_f05", F.round("macro_f05", 9))
+
+
+@query(f"{_SETTINGS} select * from w")
+def setting_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _settings(spark, sf_dir)
+
+
+@query(f"{_SETTINGS} select * from w where exclusive order by macro_f05 desc, threshold, margin limit 1")
+def best_setting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.best_setting(_settings(spark, sf_dir))
+
+
+@query(f"with {_T}, a as (select q, unnest(ids) c from l) select a.q, c, coalesce(list_contains(matched,c),false)::int as label from a left join t using(q)")
+def label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.labelled(V.listed(spark, sf_dir).select("q", F.explode("ids").alias("c")), V.truth(spark, sf_dir)).select("q", "c", "label")
+
+
+@query(f"with {_T} select q, len(ids)::bigint n from l where q in (select q from t where len(matched)>0)")
+def holdout_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = V.truth(spark, sf_dir).where("size(matched) > 0")
+    return assembly.of_queries(V.listed(spark, sf_dir), held).select("q", F.size("ids").cast("bigint").alias("n"))
+
+
+@query(f"with {_T}, a as (select t.q, coalesce(ids,[]) ids from t left join l using(q)) select count(*) entities, count(*) filter (len(ids)=0) predicted_singletons, round(avg((len(ids)=0)::int),9) singleton_rate, sum(len(ids))::bigint matched_ids from a")
+def assembly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.listed(spark, sf_dir).select("q", F.explode("ids").alias("c"))
+    _, matches = assembly.assembled(V.truth(spark, sf_dir), rows, rows)
+    return assembly.assembly_report(matches).withColumn("singleton_rate", F.round("singleton_rate", 9))
+
+
+@query(f"with {_T} select len(ids)::bigint size, count(*) n, round(count(*)/sum(count(*)) over(),9) as share, len(ids)=10 is_full from l group by len(ids)")
+def size_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.size_distribution(V.listed(spark, sf_dir), 10).withColumns({"size": F.col("size").cast("bigint"), "share": F.round("share", 9)})
+
+
+@query("select cast(s_nationkey as varchar) country, s_suppkey q, s_suppkey*7 c from supplier where not exists (select 1 from customer where c_nationkey=s_nationkey and c_custkey=s_suppkey*7)")
+def outside_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, c = V.parties(spark, sf_dir)
+    return assembly.outside_country(q.select("country", F.col("id").alias("q"), (F.col("id") * 7).alias("c")), c)
+
+
+@query("select id, count(*) n from (select s_suppkey id from supplier union all select c_custkey from customer) group by 1 having count(*)>1")
+def id_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, c = V.parties(spark, sf_dir)
+    return assembly.id_collisions({"s2": q, "s3": c})
+

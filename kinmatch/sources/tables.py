@@ -57,6 +57,52 @@ def read_store(spark: SparkSession, path: str, split: str, source: str | None =
     return rows
 
 
+def read_ids(spark: SparkSession, path: str, prefix: str = "", unique: bool = True) -> DataFrame:
+    """(id): the first field of every line but the header; blank lines do not count. Other prefixes and repeats are errors."""
+    lines = spark.read.text(path).select(F.split("value", "\t")[0].alias("id"))
+    head = lines.limit(1).collect()
+    rows = lines.where(F.btrim("id") != "").where(F.col("id") != head[0][0]) if head else lines
+    _refuse(rows.where(~F.col("id").startswith(prefix)), f"{path}: an id without the prefix {prefix}")
+    if unique:
+        _refuse(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), f"{path}: an id that repeats")
+    return rows
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """(q, ids) of a file of matches; a query or an id of a list that repeats is an error."""
+    rows = read_tsv(spark, path, TRUTH).select(F.col(TRUTH[0]).alias("q"), id_list(TRUTH[1]).alias("ids"))
+    _refuse(rows.groupBy("q").agg(F.count("*").alias("n")).where("n > 1"), f"{path}: a query that repeats")
+    _refuse(rows.where(F.size(F.array_distinct("ids")) < F.size("ids")).select("q"), f"{path}: a list with an id that repeats")
+    return rows
+
+
+def read_test_ids(spark: SparkSession, store: str, prefix: str = "S1-") -> DataFrame:
+    """(id) of the queries of the store's test split."""
+    rows = read_store(spark, store, "test", "s1").select(F.col("entity_id").alias("id"))
+    _refuse(rows.where(~F.col("id").startswith(prefix)), f"{store}: an id without the prefix {prefix}")
+    return rows
+
+
+def read_features(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The columns asked for of a folder of features; one that is not there is an error."""
+    rows = spark.read.parquet(path)
+    missing = [c for c in columns if c not in rows.columns]
+    if missing:
+        raise ValueError(f"{path}: no columns {missing}")
+    return rows.select(*columns)
+
+
+def write_areas(rows: DataFrame, path: str) -> None:
+    """(feature, auc, neutral) with six decimals."""
+    rows.select("feature", *[F.format_string("%.6f", c).alias(c) for c in ("auc", "neutral")]).coalesce(1).write.mode("errorifexists").csv(path, sep="\t", header=True)
+
+
+def _refuse(bad: DataFrame, what: str) -> None:
+    found = bad.limit(1).collect()
+    if found:
+        raise ValueError(f"{what}: {found[0][0]}")
+
+
 def countries(spark: SparkSession, path: str, split: str, source: str = "s1") -> list[str]:
     return sorted(r[0] for r in read_store(spark, path, split, source).select("country").distinct().collect())
 

@@ -160,3 +160,143 @@ def test_fusion_takes_candidates_beyond_the_twentieth(spark, tmp_path):
     assert got == shared
     ceiling = entry.queries()["union_ceiling"](spark, str(tmp_path)).first()
     assert (ceiling.in_any, ceiling.in_both) == (len(shared), sum(n == 2 for n in shared.values()))
+
+
+def test_clean_text_reads_every_script(spark):
+    from kinmatch.functions import text as T
+
+    texts = ["e\u0301cole", "\u1ebf", "\ufb01n", "\uff11\uff12", "\u03a3\u03af\u03c3\u03c5\u03c6\u03bf\u03c2", "\u0130zmir", "\u2167 \u2116", "a\u00a0b", "\u00bd", "Stra\u00dfe", "\u092a\u094d\u0930\u093e\u0907\u0935\u0947\u091f", "Caf\u00e9 & Co.", "", None, "  ", "...", "\u01c4", "\u017f"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.c for r in rows.select("i", T.clean_text(F.col("t")).alias("c")).collect()}
+    assert got == {i: T.clean(t) for i, t in enumerate(texts)}
+    every = spark.createDataFrame([(c, f"a{chr(c)}b {chr(c)}") for c in range(1, 0x3000)], "i int, t string")
+    assert {r.i: r.c for r in every.select("i", T.clean_text(F.col("t")).alias("c")).collect()} == {c: T.clean(f"a{chr(c)}b {chr(c)}") for c in range(1, 0x3000)}
+    schema = "country string, id long, name string, address string"
+    q = spark.createDataFrame([("x", 1, "\ufb01rma e\u0301cole", "")], schema)
+    c = spark.createDataFrame([("x", 2, "firma \u00e9cole", ""), ("x", 3, "other", "")], schema)
+    assert [(r.q, r.c) for r in similarity.topk_join(q, c, similarity.CHANNELS["name_token"], 5).collect()] == [(1, 2)]
+
+
+def test_string_measures_against_plain_loops():
+    from kinmatch.functions import text as T
+
+    def jaro(a, b):
+        reach = max(max(len(a), len(b)) // 2 - 1, 0)
+        taken, mine = [False] * len(b), []
+        for i, x in enumerate(a):
+            for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+                if not taken[j] and b[j] == x:
+                    taken[j] = True
+                    mine.append(x)
+                    break
+        if not mine:
+            return 0.0
+        m, turned = len(mine), sum(x != y for x, y in zip(mine, (y for y, t in zip(b, taken) if t))) // 2
+        j = (m / len(a) + m / len(b) + (m - turned) / m) / 3
+        prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(4, len(a), len(b)))
+        return j + 0.1 * prefix * (1 - j) if j > 0.7 else j
+
+    def indel(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return 2 * row[-1] / (len(a) + len(b)) if a or b else 1.0
+
+    rng = random.Random(9)
+    for _ in range(3000):
+        a, b = ("".join(rng.choices("abc de", k=rng.randint(1, 20))) for _ in "ab")
+        assert T.jaro_winkler_of(a, b) == pytest.approx(1.0 if a == b else jaro(a, b)) and T._indel(a, b) == pytest.approx(indel(a, b))
+
+
+def test_split_deals_what_the_first_sample_leaves(spark):
+    rows = [(f"c{i}", False, f"S1-{i}") for i in range(10)] + [("d", False, f"S1-{10 + i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "country string, singleton boolean, id string")
+    got = [r.part for r in learning.stratified_split(df, 8, 7).collect()]
+    assert sorted(got) == ["confirm"] * 7 + ["dev"] * 8
+    got = {r.id: r.part for r in learning.stratified_split(df, 5, 9).collect()}
+    assert sorted(got.values()) == ["confirm"] * 9 + ["dev"] * 5
+    # the order in a stratum is that of the seeded hash
+    from kinmatch.functions import text as T
+
+    d = sorted((i for k, _, i in rows if k == "d"), key=lambda i: (T.stable_number(i, "42"), i))
+    taken = [got.get(i) for i in d]
+    assert taken == sorted(taken, key=lambda p: {"dev": 0, "confirm": 1, None: 2}[p])
+    for dev, confirm in ((10, 6), (-1, 2)):
+        with pytest.raises(ValueError):
+            learning.stratified_split(df, dev, confirm)
+    with pytest.raises(ValueError):
+        learning.stratified_split(df.union(df.limit(1)), 1, 1)
+
+
+def test_bootstrap_against_draws_of_entities(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [("x" if i < 60 else "y", str(i), float(rng.choice([0.0, 0.5, 1.0], p=[0.2, 0.3, 0.5] if i < 60 else [0.6, 0.2, 0.2]))) for i in range(100)]
+    got = metrics.bootstrap(spark.createDataFrame(rows, "country string, q string, score double"), 4000).first()
+    parts = [np.array([s for k, _, s in rows if k == c]) for c in "xy"]
+    means = [sum(p[rng.integers(0, len(p), len(p))].sum() for p in parts) / 100 for _ in range(4000)]
+    assert got.point == pytest.approx(np.mean([s for _, _, s in rows]))
+    assert got.ci_low == pytest.approx(np.quantile(means, 0.025), abs=0.015) and got.ci_high == pytest.approx(np.quantile(means, 0.975), abs=0.015)
+
+
+def test_feature_frame(spark):
+    from kinmatch.operators import assembly
+
+    schema = "country string, id string, name string, address string"
+    q = spark.createDataFrame([("x", "a", "Alpha Trading Ltd", "12 Main Road, Springfield, North"), ("x", "b", "Beta", "")], schema)
+    c = spark.createDataFrame([("x", "m", "Alpha Trading", "12 Main Rd, Springfield, North"), ("x", "n", "Gamma", "9 Side Way, Shelbyville, South"), ("x", "o", "Delta", "")], schema)
+    pool = spark.createDataFrame([("x", "a", "m", 0.1, 2, 0, 0, 0.9), ("x", "a", "n", 0.05, 1, 1, 1, 0.4), ("x", "b", "m", 0.04, 1, 0, 0, 0.8)], "country string, q string, c string, rrf double, n_hit int, best_rank int, is_s3 int, score double")
+    frame = assembly.feature_frame(pool, q, c, rare_fraction=0.5)
+    assert frame.columns == ["country", "q", "c", *assembly.FEATURES] and len(assembly.FEATURES) == 23
+    rows = {(r.q, r.c): r for r in frame.collect()}
+    assert [rows[k].candidate_rank for k in (("a", "m"), ("a", "n"), ("b", "m"))] == [1, 2, 1]
+    assert [rows[k].reverse_rank for k in (("a", "m"), ("a", "n"), ("b", "m"))] == [1, 1, 2]
+    assert rows["a", "m"].city_region_agreement > rows["a", "n"].city_region_agreement == 0 and rows["b", "m"].addr_missing == 1
+    assert rows["a", "m"].shared_rare_address_tokens == 4 and assembly.non_finite(frame, assembly.FEATURES).count() == 0
+    bad = spark.createDataFrame([(1.0, None), (float("nan"), 2.0), (float("inf"), 3.0)], "a double, b double")
+    assert {r.column: r.n for r in assembly.non_finite(bad, ["a", "b"]).collect()} == {"a": 2, "b": 1}
+
+
+def test_assembly_checks(spark):
+    from kinmatch.operators import assembly
+
+    a = spark.createDataFrame([("1", ["x"])], "q string, ids array<string>")
+    assert assembly.merged([a, spark.createDataFrame([("2", [])], a.schema)]).count() == 2
+    with pytest.raises(ValueError):
+        assembly.merged([a, a])
+    left = spark.createDataFrame([(0, "1"), (1, "2"), (2, "3")], "position int, q string")
+    right = spark.createDataFrame([(0, "1"), (1, "9")], "position int, q string")
+    assert {r.position: r.problem for r in assembly.zipped(left, right).collect()} == {1: "other query", 2: "missing match row"}
+    lines = ["source1_entity_id\tmatched_entity_ids", "S1-1\tS2-1,S2-1", "S1-1\t", "S1-9\tS1-3,X-1", "broken", "S1-2\tS3-7", ""]
+    df = spark.createDataFrame(list(enumerate(lines)), "position int, line string")
+    queries = spark.createDataFrame([("S1-1",), ("S1-2",), ("S1-3",)], "q string")
+    known = spark.createDataFrame([("S2-1",)], "c string")
+    found = {r.rule: (r.n, r.examples) for r in assembly.file_violations(df, tables.TRUTH, queries, known).collect()}
+    assert found == {"duplicate_row": (1, ["S1-1"]), "repeated_id": (1, ["S1-1"]), "self_match": (1, ["S1-3"]), "wrong_prefix": (1, ["X-1"]), "malformed": (1, ["broken"]), "missing_row": (1, ["S1-3"]), "extra_row": (1, ["S1-9"]), "unknown_id": (1, ["S3-7"])}
+    for head, rule in (("a,b", "comma_separated"), ("a\tb", "header")):
+        only = spark.createDataFrame([(0, head), (1, "x")], "position int, line string")
+        assert [r.rule for r in assembly.file_violations(only, tables.TRUTH, queries).collect()] == [rule]
+    measures = lambda *v: spark.createDataFrame([("x", "macro_f05", v[0])], "country string, measure string, value double")
+    got = assembly.transfer_deltas(measures(0.5), measures(0.75), measures(float("nan"))).first()
+    assert got.transfer_minus_baseline == 0.25 and got.ablation_minus_transfer is None
+    runs = spark.createDataFrame([("a", "h", "1"), ("b", "g", "1"), ("c", "h", None)], "run string, data string, model string")
+    assert {r.rule: r.n for r in assembly.provenance_violations(runs, ["data"], ["model"]).collect()} == {"data differs": 1, "model is shared": 1, "model is missing": 1}
+    pool = spark.createDataFrame([("2", "x"), ("1", "y"), ("1", "z")], "q string, c string")
+    assert {r.c for r in assembly.entity_complete(pool, pool.limit(3), 1).collect()} == {"y", "z"}
+    record = assembly.normalized_records(spark.createDataFrame([("x", "1", "Alpha Ltd", "AF-07 Road")], "country string, id string, name string, address string"), spark.createDataFrame([("x", ["limited"])], "country string, stop array<string>"), written_out=True).first()
+    assert (record.tokens, record.core_tokens, record.joined, record.numeric_keys) == (["alpha", "limited"], ["alpha"], "alphalimited", ["af7"])
+
+
+def test_other_sources(spark, tmp_path):
+    (tmp_path / "ids.tsv").write_text("entity_id\tx\nS1-1\ta\n\nS1-2\tb\n")
+    assert {r.id for r in tables.read_ids(spark, str(tmp_path / "ids.tsv"), "S1-").collect()} == {"S1-1", "S1-2"}
+    (tmp_path / "twice.tsv").write_text("entity_id\nS1-1\nS1-1\n")
+    (tmp_path / "pred.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1,S2-1\n")
+    for read in (lambda: tables.read_ids(spark, str(tmp_path / "twice.tsv")), lambda: tables.read_ids(spark, str(tmp_path / "ids.tsv"), "S2-"), lambda: tables.read_predictions(spark, str(tmp_path / "pred.tsv"))):
+        with pytest.raises(ValueError):
+            read()
+    tables.write_areas(spark.createDataFrame([("f", 0.5, 0.25)], "feature string, auc double, neutral double"), str(tmp_path / "auc"))
+    assert spark.read.csv(str(tmp_path / "auc"), sep="\t", header=True).first().auc == "0.500000"
