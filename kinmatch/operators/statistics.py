@@ -31,7 +31,7 @@ def core_counts(records: DataFrame, tokens: Column, frequencies: DataFrame, shar
     Tokens meet the stop words in a join, which is hashed where they are few by measured size.
     """
     stops = frequencies.where(F.col("frac") >= share).select("country", "token", F.lit(1).alias("stop"))
-    own = records.select("country", "id", F.monotonically_increasing_id().alias("row"), F.explode_outer(tokens).alias("token"))
+    own = records.withColumn("row", F.monotonically_increasing_id()).select("country", "id", "row", F.explode_outer(tokens).alias("token"))
     counted = own.join(stops, ["country", "token"], "left").groupBy("row").agg(F.first("country").alias("country"), F.first("id").alias("id"), F.count("token").alias("n"), F.count("stop").alias("k"))
     return counted.select("country", "id", F.when(F.col("k") == F.col("n"), F.col("n")).otherwise(F.col("n") - F.col("k")).alias("n_core"))
 
