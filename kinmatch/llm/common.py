@@ -36,22 +36,39 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: The setting by which Spark deletes a query's shuffle files as soon as it has ended.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Compressed tables in the shared folder, for results that are used more than once."""
+    """Compressed tables in the shared folder, for results that are used more than once.
+
+    A table stands for itself, so the shuffle files of the query that wrote it go at once instead of at some later
+    garbage collection of the driver: many small steps then take no more disk than the largest of them.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.tables = spark, {}
 
     def written(self, df: DataFrame) -> DataFrame:
         path = f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
+        conf, before = self.spark.conf, self.spark.conf.get(RELEASE, "false")
+        conf.set(RELEASE, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(RELEASE, before)
         out = self.tables[path] = self.spark.read.schema(df.schema).parquet(path)
         return out
 
     def drop_others(self, *kept: DataFrame) -> None:
         """Deletes all tables written but these."""
+        self.drop(*[table for table in self.tables.values() if not any(table is x for x in kept)])
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes these tables."""
         sc = self.spark.sparkContext
-        for path in [p for p, table in self.tables.items() if not any(table is x for x in kept)]:
+        for path in [p for p, table in self.tables.items() if any(table is x for x in tables)]:
             del self.tables[path]
             folder = sc._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)

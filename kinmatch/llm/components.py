@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import cut_lineage
+from kinmatch.llm.common import Scratch
 
 #: Edges, of two numbers each, to a partition.
 PARTITION_EDGES = 100_000
@@ -26,17 +26,20 @@ def connected_components(edges: DataFrame, most_rounds: int = 60, partition_edge
     def told(rows: DataFrame):
         return rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("hash")).first()
 
-    now = cut_lineage(edges.selectExpr("greatest(a, b) a", "least(a, b) b").where("a <> b").distinct())
-    before = told(now)
+    scratch = Scratch(edges.sparkSession)
+    table = scratch.written(edges.selectExpr("greatest(a, b) a", "least(a, b) b").where("a <> b").distinct())
+    before = told(table)
     partitions = max(1, -(-before.n // partition_edges))
-    now = now.coalesce(partitions)
+    now = table.coalesce(partitions)
     for _ in range(most_rounds):
         both = pairs(now, "a, b", "b a, a b")
         least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) m")
         large = pairs(both.where("b > a").join(least, "a"), "b a, m b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = pairs(large.join(least, "a"), "b a, m b", "a, m b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct()
-        now = cut_lineage(small.coalesce(partitions))
+        table = scratch.written(small.coalesce(partitions))
+        scratch.drop_others(table)
+        now = table.coalesce(partitions)
         same = told(now)
         if same == before:
             break

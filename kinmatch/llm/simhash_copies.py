@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinmatch.llm import exchange as ex
-from kinmatch.llm.common import SLICE_ROWS, Scratch, cut_lineage, map_slices, shuffle_partitions, table_schema
+from kinmatch.llm.common import SLICE_ROWS, Scratch, map_slices, shuffle_partitions, table_schema
 from kinmatch.llm.components import connected_components
 from kinmatch.llm.simhash import majority, near_pairs, shingle_digests
 
@@ -128,10 +128,11 @@ class _Classes:
         self.cells = scratch.written(members.join(several, "cells").select(F.col("cells").alias("cell"), "node", "n", "at", "fp"))
         self.links: DataFrame | None = None
 
-    def _compare(self, pairs: DataFrame) -> bool:
-        """Adds the pairs (a, b) whose shingles are similar enough to the links; whether there are any."""
+    def _compare(self, pairs: DataFrame, *made_from: DataFrame) -> bool:
+        """Adds the pairs (a, b) whose shingles are similar enough to the links; whether there are any. Drops the tables that they were made from."""
         words, similarity = self.words, self.similarity
-        pairs = cut_lineage(pairs.selectExpr("least(a, b) a", "greatest(a, b) b").where("a <> b").distinct())
+        pairs = self.scratch.written(pairs.selectExpr("least(a, b) a", "greatest(a, b) b").where("a <> b").distinct())
+        self.scratch.drop(*made_from)
 
         def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
             unpack, keep = zstandard.ZstdDecompressor().decompress, []
@@ -146,6 +147,7 @@ class _Classes:
         with_a = self.texts.withColumnRenamed("node", "a").join(sent, "a")
         with_b = self.texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).join(sent, "b")
         found = self.scratch.written(map_slices(with_a.join(with_b, ["a", "b"]).select("a", "b", "text", "text_b"), compare, "a bigint, b bigint"))
+        self.scratch.drop(pairs)
         self.links = found if self.links is None else self.links.union(found)
         return not found.isEmpty()
 
@@ -155,16 +157,16 @@ class _Classes:
         placed = self.cells.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
         sizes = placed.groupBy("cell", "component").agg(F.count("*").alias("k"))
         mixed = sizes.groupBy("cell").agg(F.count("*").alias("classes"), F.max(F.struct("k", "component")).getField("component").alias("main")).where("classes > 1").select("cell", "main")
-        return cut_lineage(placed.join(mixed, "cell").select("cell", "main", F.struct("node", "n", "at", "component").alias("x")))
+        return self.scratch.written(placed.join(mixed, "cell").select("cell", "main", F.struct("node", "n", "at", "component").alias("x")))
 
     def near_fingerprints(self) -> None:
         """Nodes of one fingerprint with the least of them, and the least ones of fingerprints within two bits."""
         fps = self.cells.select("fp", "node").distinct()
-        least = cut_lineage(fps.groupBy("fp").agg(F.min("node").alias("least")))
+        least = self.scratch.written(fps.groupBy("fp").agg(F.min("node").alias("least")))
         equal = fps.join(least, "fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
         first, other = (least.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}")) for c in "ab")
         near = near_pairs(least.select("fp")).join(first, "a").join(other, "b")
-        self._compare(equal.union(near.select("least_a", "least_b")))
+        self._compare(equal.union(near.select("least_a", "least_b")), least)
 
     def with_members(self, number: int) -> bool:
         """What is outside of a cell's largest class with some members of that, other ones for each number; whether links come of it."""
@@ -172,14 +174,14 @@ class _Classes:
         chosen = [F.min(F.struct(F.xxhash64("x.node", F.lit(number * MEMBERS + k)).alias("place"), F.col("x"))).getField("x").alias(f"y{k}") for k in range(MEMBERS)]
         hubs = placed.where("x.component = main").groupBy("cell").agg(*chosen).select("cell", F.array_distinct(F.array(*[f"y{k}" for k in range(MEMBERS)])).alias("ys"))
         met = placed.where("x.component <> main").join(hubs, "cell").select("x", F.explode("ys").alias("y")).where(_may(self.similarity))
-        return self._compare(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+        return self._compare(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), placed)
 
     def with_all(self) -> None:
         """What is still outside of a cell's largest class with all of other classes there."""
         placed = self._placed()
         asks = placed.where("x.component <> main").select("cell", "x")
         met = asks.join(placed.select("cell", F.col("x").alias("y")), "cell").where("x.component <> y.component").where(_may(self.similarity))
-        self._compare(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+        self._compare(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), placed)
 
 
 def _classes(docs: DataFrame, scratch: Scratch, similarity: float, id_col: str, text_col: str, words_per_shingle: int) -> tuple[DataFrame, DataFrame]:
