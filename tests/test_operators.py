@@ -300,3 +300,16 @@ def test_other_sources(spark, tmp_path):
             read()
     tables.write_areas(spark.createDataFrame([("f", 0.5, 0.25)], "feature string, auc double, neutral double"), str(tmp_path / "auc"))
     assert spark.read.csv(str(tmp_path / "auc"), sep="\t", header=True).first().auc == "0.500000"
+
+
+def test_topk_join_sends_no_features_to_all_tasks(spark, tmp_path):
+    q = spark.createDataFrame([("x", i, f"ab{i % 3}cd", "") for i in range(6)], "country string, id bigint, name string, address string")
+    c = spark.createDataFrame([("x", i, f"ab{i % 7}cd", "") for i in range(60)], "country string, id bigint, name string, address string")
+    for x, name in ((q, "q"), (c, "c")):
+        x.write.parquet(str(tmp_path / name))  # files have a size that Spark trusts
+    q, c = (spark.read.parquet(str(tmp_path / name)) for name in "qc")
+    got = similarity.topk_join(q, c, replace(similarity.CHANNELS["name_ngram"], max_df=0.5), 5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "feature" in x]
+    want = [(i, n, r) for i in range(6) for r, n in enumerate([x for x in range(60) if x % 7 == i % 3][:5])]
+    assert sorted((r.q, r.c, r.rank0) for r in got.collect()) == want
