@@ -313,3 +313,13 @@ def test_topk_join_sends_no_features_to_all_tasks(spark, tmp_path):
     assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "feature" in x]
     want = [(i, n, r) for i in range(6) for r, n in enumerate([x for x in range(60) if x % 7 == i % 3][:5])]
     assert sorted((r.q, r.c, r.rank0) for r in got.collect()) == want
+
+
+def test_forms_are_not_sent_to_all_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([("x", i, f"ab{i}cd", f"{i} street, town") for i in range(20)], "country string, id bigint, name string, address string")
+    rows.write.parquet(str(tmp_path / "r"))
+    rows = spark.read.parquet(str(tmp_path / "r"))
+    met = rows.select("country", F.col("id").alias("q"), F.col("id").alias("c"))
+    got = pairs.with_forms(met, pairs.forms(rows), pairs.forms(rows))
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.where("fq.name_clean = fc.name_clean").count() == 20
