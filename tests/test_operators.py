@@ -323,3 +323,16 @@ def test_forms_are_not_sent_to_all_tasks(spark, tmp_path):
     got = pairs.with_forms(met, pairs.forms(rows), pairs.forms(rows))
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.where("fq.name_clean = fc.name_clean").count() == 20
+
+
+def test_pairs_that_share_frequent_features_are_never_rows(spark, monkeypatch):
+    schema = "country string, id bigint, name string, address string"
+    q = spark.createDataFrame([("xy"[i % 2], i, f"ab{i % 3}cd", "") for i in range(8)] + [("z", 9, "ab1cd", "")], schema)
+    c = spark.createDataFrame([("xy"[i % 2], i, f"ab{i % 7}cd{i % 2}", "") for i in range(80)], schema)
+    channel = replace(similarity.CHANNELS["name_ngram"], max_df=0.9)
+    whole = sorted(map(tuple, similarity.topk_join(q, c, channel, 4).collect()))
+    plan = similarity.topk_join(q, c, channel, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and not [x for x in plan.splitlines() if "Exchange" in x and "asks" in x]
+    monkeypatch.setattr(similarity, "CHUNK_CHARS", 40)
+    monkeypatch.setattr(similarity, "BLOCK_QUERIES", 2)
+    assert sorted(map(tuple, similarity.topk_join(q, c, channel, 4).collect())) == whole and len(whole) == 32
