@@ -1,3 +1,4 @@
+import re
 import random
 from dataclasses import replace
 
@@ -336,3 +337,15 @@ def test_pairs_that_share_frequent_features_are_never_rows(spark, monkeypatch):
     monkeypatch.setattr(similarity, "CHUNK_CHARS", 40)
     monkeypatch.setattr(similarity, "BLOCK_QUERIES", 2)
     assert sorted(map(tuple, similarity.topk_join(q, c, channel, 4).collect())) == whole and len(whole) == 32
+
+
+def test_pairs_of_equal_places_are_not_shuffled(spark, tmp_path):
+    schema = "country string, id bigint, name string, address string"
+    q = spark.createDataFrame([("xy"[i % 2], i, "", f"{i} road, zone {i % 3}, area {i % 2}") for i in range(60)] + [("x", 90, "", "no places"), ("x", 91, "", "")], schema)
+    c = spark.createDataFrame([("xy"[i % 2], i, "", f"{i} road, area {i % 2}, zone {i % 5}") for i in range(200)] + [("x", 900, "", "far, other, town")], schema)
+    got = pairs.agreeing_pairs(q, c, pairs.address_df(pairs.forms(c)))
+    rows = got.collect()
+    assert len({(r.q, r.c) for r in rows}) == len(rows) == 2 * 30 * 100
+    assert all((r.agreement == 1) == (r.q % 3 == r.c % 5) for r in rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange" in x and re.search(r"\bq#", x) and re.search(r"\bc#", x)]
