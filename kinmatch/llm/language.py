@@ -15,6 +15,7 @@ Repeated rows each give a row.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import map_slices
+from kinmatch.llm.common import forget_stores, map_slices
 
 #: Bytes of labelled text, in expectation, that each language is learned from.
 LABELLED_BYTES = 4_000_000
@@ -33,7 +34,8 @@ UNDETERMINED = "und"
 SCHEMA = "doc_id bigint, lang_pred string, score double"
 _LETTER = re.compile(r"[^\W\d_]")
 _PAD = b"\n\n\n"
-_STEP = 1 << 20
+#: Bytes whose codes are worked out at a time; the arrays for it take some 60 bytes each.
+_STEP = 1 << 17
 
 
 @dataclass
@@ -47,18 +49,25 @@ class LanguageModel:
     symbols: int
 
 
+def count_grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Four-byte strings as numbers, and how often each occurs, of one step of the texts after another."""
+    data = np.frombuffer(_PAD + _PAD.join(x.encode() for x in texts), np.uint8)
+    for lo in range(0, len(data) - 3, _STEP):
+        step = data[lo : lo + _STEP + 3].astype(np.uint32)
+        key, n = np.unique(step[:-3] << 24 | step[1:-2] << 16 | step[2:-1] << 8 | step[3:], return_counts=True)
+        yield key.astype(np.int64), n.astype(np.int64)
+
+
 def _gram_counts(labelled: DataFrame) -> dict[str, dict[int, int]]:
     def count(part: pa.RecordBatch) -> pa.RecordBatch | None:
         langs, grams, counts = [], [], []
         column = part.column("lang")
         for lang in pc.unique(column).to_pylist():
-            texts = part.column("text").filter(pc.equal(column, lang)).to_pylist()
-            data = np.frombuffer(_PAD + _PAD.join(x.encode() for x in texts), np.uint8).astype(np.uint32)
-            key, n = np.unique(data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:], return_counts=True)
-            langs += [lang] * len(key)
-            grams.append(key.astype(np.int64))
-            counts.append(n)
-        return pa.record_batch([pa.array(langs, pa.string()), pa.array(np.concatenate(grams)), pa.array(np.concatenate(counts).astype(np.int64))], names=["lang", "gram", "n"])
+            for key, n in count_grams(part.column("text").filter(pc.equal(column, lang)).to_pylist()):
+                langs += [lang] * len(key)
+                grams.append(key)
+                counts.append(n)
+        return pa.record_batch([pa.array(langs, pa.string()), pa.array(np.concatenate(grams)), pa.array(np.concatenate(counts))], names=["lang", "gram", "n"])
 
     out: dict[str, dict[int, int]] = {}
     for lang, gram, n in map_slices(labelled, count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n")).collect():
@@ -170,6 +179,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, id_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(part: pa.RecordBatch) -> pa.RecordBatch:
+        forget_stores()
         lang, score = label(shared.value, part.column("text").to_pylist())
         return pa.record_batch([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
@@ -191,6 +201,7 @@ def with_language(docs: DataFrame, model: LanguageModel | None, text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(part: pa.RecordBatch) -> pa.RecordBatch:
+        forget_stores()
         lang, score = label(shared.value, part.column(text_col).to_pylist())
         return part.filter(pa.array((np.array(lang) != UNDETERMINED) & (score >= least_score)))
 

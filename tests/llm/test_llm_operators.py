@@ -488,3 +488,30 @@ def test_pipeline(spark, tmp_path):
     assert kept["language_id"] == set(range(20)) | {40}
     assert kept["simhash_near_dedup"] == kept["best_fit_packing"] == set(range(20))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 20
+
+
+def test_language_takes_little_memory_beside_its_texts():
+    import tracemalloc
+
+    from kinmatch.llm import common, language
+
+    texts = {"a": ["the cat and the hat " * 100_000] * 2, "b": ["der hund und der mund " * 100_000] * 2}
+    store = common.per_process(lambda: "built")
+    assert store() == "built" and common._PerProcess._built
+    common.forget_stores()
+    assert not common._PerProcess._built
+    tracemalloc.start()
+    grams = {x: {} for x in texts}
+    for x, of in texts.items():
+        for key, n in language.count_grams(of):
+            for k, m in zip(key.tolist(), n.tolist()):
+                grams[x][k] = grams[x].get(k, 0) + m
+    counting = tracemalloc.get_traced_memory()[1]
+    model = language.build_model(grams)
+    tracemalloc.reset_peak()
+    labels = language.label(model, texts["a"] + texts["b"])[0]
+    labelling = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert labels == ["a", "a", "b", "b"]
+    assert sum(grams["a"].values()) == 2 * (len(texts["a"][0]) + 3) - 3
+    assert counting < 30e6 and labelling < 60e6
