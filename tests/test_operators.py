@@ -349,3 +349,12 @@ def test_pairs_of_equal_places_are_not_shuffled(spark, tmp_path):
     assert all((r.agreement == 1) == (r.q % 3 == r.c % 5) for r in rows)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "Exchange" in x and re.search(r"\bq#", x) and re.search(r"\bc#", x)]
+
+
+@pytest.mark.parametrize("name", ["rrf_fusion", "fusion_sum_raw", "fusion_quota", "fusion_znorm", "union_ceiling"])
+def test_fused_pairs_are_not_shuffled(spark, name):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange" in x and re.search(r"\bc#", x)]
+    assert len([x for x in plan.splitlines() if "REPARTITION_BY_NUM" in x]) == 1
