@@ -170,4 +170,4 @@ def with_answers(table: DataFrame, answers: DataFrame, fn, schema: str) -> DataF
 
 
 def texts_of(rows: pa.RecordBatch, text_col: str) -> list[bytes]:
-    return [(x or "").encode() for x in rows.column(text_col).to_pylist()]
+    return [x or b"" for x in rows.column(text_col).cast(pa.binary()).to_pylist()]

@@ -45,7 +45,7 @@ LENGTH, GRAM = 100, 64
 COLLECTION, CROWDED = 1500, 1000
 #: Bytes of text, in expectation, whose anchors a bucket of questions sees.
 BUCKET_BYTES = 16 << 20
-_BLOCK = 1 << 19
+_BLOCK = 1 << 17
 _RNG = np.random.default_rng(20240501)
 _BYTE_HASH = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -312,7 +312,8 @@ class Segments:
 def _chunk_anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
     found = [*text_anchors(texts, length, gram)]
     doc, h, start, n = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
-    return doc, h.astype(np.int64).view(np.uint64) & ex.SHORT, start, n % 256, n // 256
+    # anchors are the smallest hashes of their strings: multiplied by an odd number they fill all buckets alike
+    return doc, h.astype(np.int64).view(np.uint64) * _BASE & ex.SHORT, start, n % 256, n // 256
 
 
 def _candidates(texts: list[bytes], places: Places, doc, start, n, away, length: int) -> Segments:

@@ -141,6 +141,14 @@ def test_repeats(spark, rows, crowded):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_anchors_fill_all_buckets_alike():
+    own = random.Random(3)
+    _, keys, *_ = repeats._chunk_anchors(["".join(own.choices("abcdefgh ", k=20_000)).encode() for _ in range(30)], repeats.LENGTH, repeats.GRAM)
+    asked = repeats.ex.asks(0, 50, keys := np.unique(keys), [np.ones(len(keys), np.uint8)])
+    sizes = [len(repeats.ex.unpack(x)) for x in asked.column("keys").to_pylist()]
+    assert len(sizes) == 50 and max(sizes) < 1.5 * sum(sizes) / 50
+
+
 def test_without_repeats(spark, empty):
     rows = repeating_rows()
     df = spark.createDataFrame([(i, t, "a", "b") for i, t in rows], "doc_id long, text string, _doc string, chunk string").repartition(3)
