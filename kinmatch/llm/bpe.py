@@ -15,17 +15,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from itertools import chain, islice
+from array import array
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from kinmatch.llm.common import map_slices, per_process
-from kinmatch.llm.pretokens import matches, stands_alone
+from kinmatch.llm.common import map_slices, per_process, text_slices
+from kinmatch.llm.pretokens import Cutter, bounded
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-#: Chunks, arcs and pairs that a process keeps; beyond it a store starts anew.
-CACHE_CHUNKS, CACHE_ARCS, CACHE_PAIRS = 250_000, 400_000, 1_000_000
+#: Matches, arcs and pairs that a process keeps; beyond it a store starts anew, or loses its older half.
+CACHE_MATCHES, CACHE_ARCS, CACHE_PAIRS = 400_000, 400_000, 1_000_000
+#: Bytes of text that are cut at a time; a longer text is read in blocks of about so many.
+BLOCK_BYTES = 1 << 20
 #: Ids that the decoder gets at a time.
 DECODE_IDS = 4096
 
@@ -211,42 +216,82 @@ def decode(ids, bytes_of) -> str:
     return "".join(out)
 
 
+def gathered(values: pa.Array, at: np.ndarray) -> bytes:
+    """The bytes of the values at these places, one behind the other."""
+    taken = values.take(pa.array(at))
+    data = taken.buffers()[2]
+    return data.to_pybytes()[: np.frombuffer(taken.buffers()[1], np.int32)[taken.offset + len(taken)]] if data else b""
+
+
 class Encoder:
-    """Encodes texts chunk by chunk and keeps what chunks became."""
+    """Encodes the distinct matches of many texts at a time, and keeps what matches became."""
 
     def __init__(self, path: str):
         self.machine = Transducer(read_ranks(path))
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.known_matches: dict[str, list[int]] = {}
-
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        known, out = self.known_matches, []
-        for match in matches(chunk):
+        self.cutter = Cutter()
+        self.known: dict[bytes, bytes] = {}
+        size = max(self.machine.bytes_of, default=-1) + 1
+        #: By id: its decimal digits and a comma, and its bytes.
+        self.decimal = pa.array([b"%d," % i for i in range(size)], pa.binary())
+        self.bytes_of = pa.array([self.machine.bytes_of.get(i) for i in range(size)], pa.binary())
+
+    def _ids(self, distinct: list[bytes]) -> list[bytes]:
+        """The ids of each match, as bytes of 32-bit numbers."""
+        known, encode, out = self.known, self.machine.encode, []
+        if len(known) > CACHE_MATCHES:
+            # the older half goes: frequent matches are soon there again
+            for match in list(islice(known, CACHE_MATCHES // 2)):
+                del known[match]
+        for match in distinct:
             ids = known.get(match)
             if ids is None:
-                ids = self.machine.encode(match.encode())
+                ids = array("i", encode(match)).tobytes()
                 if len(match) <= 40:
-                    if len(known) > CACHE_CHUNKS:
-                        known.clear()
                     known[match] = ids
-            out += ids
-        return tuple(out)
+            out.append(ids)
+        return out
+
+    def encode_all(self, data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, whose bytes lie in data up to these ends, and where those of each text end."""
+        if not data:
+            return np.zeros(0, np.int32), np.zeros(len(ends), np.int64)
+        begins = np.concatenate(([0], ends[:-1]))
+        starts = self.cutter.starts(np.frombuffer(data, np.uint8), begins)
+        borders = np.append(starts, len(data)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(borders), pa.py_buffer(data)]).dictionary_encode()
+        parts = self._ids(coded.dictionary.to_pylist())
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        each = sizes[code]
+        until = np.cumsum(each)
+        at = np.repeat((np.cumsum(sizes) - sizes)[code] - (until - each), each)
+        at += np.arange(len(at))
+        ids = np.frombuffer(b"".join(parts), np.int32)[at]
+        return ids, np.concatenate(([0], until))[np.searchsorted(starts, ends)]
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        words, known = text.split(" "), self.known
-        first = words.pop(0)
-        if len(known) > CACHE_CHUNKS:
-            # the older half goes: frequent chunks are soon there again
-            for word in list(islice(known, CACHE_CHUNKS // 2)):
-                del known[word]
-        for word in set(words).difference(known):
-            known[word] = self._chunk(" " + word) if stands_alone(word) else None
-        parts = list(map(known.__getitem__, words))
-        if None in parts or (words and not first) or first[-1:].isspace():
-            return list(self._chunk(text))
-        return [*self._chunk(first), *chain.from_iterable(parts)]
+        data = text.encode()
+        return self.encode_all(data, np.array([len(data)]))[0].tolist()
+
+
+class Digest:
+    """Takes the ids of a text in parts: counts them, and digests them and the characters that they decode to."""
+
+    def __init__(self, own: Encoder):
+        self.own, self.n, self.stream, self.comma = own, 0, Utf8Stream(), b""
+        self.ids, self.back = hashlib.sha256(), hashlib.sha256()
+
+    def take(self, ids: np.ndarray) -> None:
+        self.n += len(ids)
+        for at in range(0, len(ids), DECODE_IDS):
+            step = ids[at : at + DECODE_IDS]
+            self.ids.update(self.comma + gathered(self.own.decimal, step)[:-1])
+            self.comma = b","
+            self.back.update(self.stream.feed(gathered(self.own.bytes_of, step)).encode())
+
+    def end(self) -> tuple[int, str, str]:
+        self.back.update(self.stream.end().encode())
+        return self.n, self.ids.hexdigest(), self.back.hexdigest()
 
 
 def encode_decode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,13 +299,21 @@ def encode_decode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col:
     encoder = per_process(lambda: Encoder(ranks))
 
     def digest(part: pa.RecordBatch) -> pa.RecordBatch:
-        own = encoder()
-        n, ids_hex, back_hex = [], [], []
-        for text in part.column("text").to_pylist():
-            ids = own.encode(text or "")
-            n.append(len(ids))
-            ids_hex.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-            back_hex.append(hashlib.sha256(decode(ids, own.machine.bytes_of).encode()).hexdigest())
+        own, out = encoder(), []
+        for piece in text_slices([part], size=BLOCK_BYTES):
+            texts = pc.fill_null(piece.column("text"), "")
+            texts.validate(full=True)
+            texts = texts.cast(pa.large_binary()).to_pylist()
+            if len(texts) == 1:
+                out.append(Digest(own))
+                for block in bounded(texts[0], BLOCK_BYTES):
+                    out[-1].take(own.encode_all(block, np.array([len(block)]))[0])
+                continue
+            ids, ends = own.encode_all(b"".join(texts), np.cumsum([len(x) for x in texts]))
+            for begin, end in zip(np.concatenate(([0], ends[:-1])), ends, strict=True):
+                out.append(Digest(own))
+                out[-1].take(ids[begin:end])
+        n, ids_hex, back_hex = zip(*[x.end() for x in out], strict=True)
         return pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hex), pa.array(back_hex)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_slices(docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text"), digest, SCHEMA)

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from kinmatch.llm import ann, bpe, components, language, lm, packing, pii, quality, repeats, simhash, simhash_copies, tokens
+from kinmatch.llm import ann, bpe, components, language, lm, packing, pii, pretokens, quality, repeats, simhash, simhash_copies, tokens
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 rng = random.Random(5)
@@ -239,6 +240,52 @@ def test_bpe(docs, empty):
         assert own.encode(t) == library.encode_ordinary(t)
 
 
+def test_bpe_cuts_whole_slices():
+    cutter, own = pretokens.Cutter(), random.Random(6)
+    for _ in range(1500):
+        texts = ["".join(own.choice("    \n\t\r\x1c\x85\xa0\u2003\u3000abstmdrevl0²٣.,;''''’é日😀ñß_\u0301𝒳") for _ in range(own.randint(0, 25))) for _ in range(own.randint(1, 6))]
+        data = "".join(texts).encode()
+        ends = np.cumsum([len(t.encode()) for t in texts])
+        borders = [*cutter.starts(np.frombuffer(data, np.uint8), np.concatenate(([0], ends[:-1]))), len(data)]
+        got = [data[a:b].decode() for a, b in zip(borders, borders[1:])]
+        assert got == [m for t in texts for m in pretokens.matches(t)]
+        for t in texts:
+            assert [m for block in pretokens.bounded(t.encode(), 4) for m in pretokens.matches(block.decode())] == pretokens.matches(t)
+
+
+def test_bpe_works_once_for_each_distinct_match(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own, parts = bpe.Encoder(path), [f"{a}{b}" for a in ("ther", "ontin", "blewh", "Straß") for b in ("on", "ing", "ti", "日", "ea")]
+    words = [f"{a}{mark}{b}" for a in parts for b in parts for mark in (",\n", ".\n", "'s-", "\n", "; ", "_", "...", "!?")]
+    assert own.encode(" ".join(parts)) and len(set(words)) == 3200
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        ids = own.encode(" ".join(words))
+    finally:
+        sys.setprofile(None)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    assert ids == library.encode_ordinary(" ".join(words)) and bpe.decode(ids, own.machine.bytes_of) == " ".join(words)
+    assert calls < 1600
+
+    # texts longer than a block are cut, also where no space follows ASCII, and steps of decoding part characters
+    assert len(list(pretokens.bounded("слово слово。\n".encode() * 9, 30))) > 5
+    monkeypatch.setattr(bpe, "DECODE_IDS", 3)
+    texts = [" ".join(words[:400]), "", "日😀ñ" * 60, " \n" * 90 + "x" * 300]
+    digests = [bpe.Digest(own) for _ in texts]
+    for digest, t in zip(digests, texts, strict=True):
+        for block in pretokens.bounded(t.encode(), 50):
+            digest.take(own.encode_all(block, np.array([len(block)]))[0])
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    want = [(len(ids), sha(",".join(map(str, ids)).encode()), sha(t.encode())) for t in texts for ids in [library.encode_ordinary(t)]]
+    assert [x.end() for x in digests] == want
+
+
 def test_simhash(spark, docs, empty):
     def plain(t):
         ws = (t or "").encode().lower().split()
