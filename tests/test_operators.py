@@ -261,6 +261,14 @@ def test_feature_frame(spark):
     assert {r.column: r.n for r in assembly.non_finite(bad, ["a", "b"]).collect()} == {"a": 2, "b": 1}
 
 
+def test_lexical_score_has_all_terms(spark):
+    got = {(r.country, r.q, r.c): r.score for r in catalog.lexical_score(spark, "/root/testdata/sf0.001").collect()}
+    want = catalog.pair_features(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(want) > 0 and sum(pairs.LEXICAL_WEIGHTS.values()) == pytest.approx(1)
+    for r in want:
+        assert got[r.country, r.q, r.c] == pytest.approx(sum(w * r[x] for x, w in pairs.LEXICAL_WEIGHTS.items()), abs=1e-6)
+
+
 def test_assembly_checks(spark):
     from kinmatch.operators import assembly
 
