@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmatch.functions import text as T
-from kinmatch.operators import decisions, metrics, pairs
+from kinmatch.operators import compare, decisions, metrics, pairs, similarity
 
 # Thresholds and margins that a setting is chosen from, each with and without exclusive owners.
 THRESHOLDS = (0.35, 0.50, 0.65, 0.75, 0.82, 0.88, 0.92, 0.95, 0.97, 0.985)
@@ -68,27 +69,36 @@ def ordered_queries(rows: DataFrame, most: int | None = None) -> DataFrame:
     return out.limit(most) if most is not None else out
 
 
+def frame_records(rows: DataFrame, df: DataFrame, corpus: DataFrame, rare_fraction: float, *more: str) -> DataFrame:
+    """What the features of a frame ask of records (country, id, name, address, more): texts, keys, rare tokens and weighed places."""
+    keys = ["country", "id"]
+    rare = pairs.rare_tokens(pairs.forms(rows), df, rare_fraction)
+    places = pairs.location_weights(rows, df, corpus).select(*keys, F.map_keys("places").alias("places"), F.map_values("places").alias("place_weights"))
+    return compare.records(rows, *more).join(rare.hint("shuffle_hash"), keys, "left").join(places.hint("shuffle_hash"), keys, "left")
+
+
+def _frame(dealt: compare.Dealt) -> DataFrame:
+    made = [x for x in FEATURES if x not in pairs.VALUES and x not in pairs.CONTEXT[:5]]
+    return dealt.compared(made, pairs.VALUES, reverse=True).select("country", "q", "c", *FEATURES)
+
+
 def feature_frame(candidates: DataFrame, queries: DataFrame, corpus: DataFrame, score: str = "score", rare_fraction: float = 0.01) -> DataFrame:
     """(country, q, c and the 23 features) of candidates (country, q, c, rrf, n_hit, best_rank, is_s3, score).
 
     All candidates of a country must be there: ranks are among them. Records are cleaned once each. Rows with a feature
     that is not finite do not come out of here: the frame is checked by non_finite() where it is written.
     """
-    q_forms, c_forms = pairs.forms(queries), pairs.forms(corpus)
-    df = pairs.address_df(c_forms)
-    ranked = pairs.reverse_ranks(pairs.forward_ranks(candidates, score), score)
-    rare = [pairs.rare_tokens(x, df, rare_fraction).select("country", F.col("id").alias(n), F.col("rare").alias(f"rare_{n}")) for x, n in ((q_forms, "q"), (c_forms, "c"))]
-    places = [pairs.location_weights(x, df, corpus).select("country", F.col("id").alias(n), F.col("places").alias(f"places_{n}")) for x, n in ((queries, "q"), (corpus, "c"))]
-    rows = pairs.with_forms(ranked, q_forms, c_forms)
-    for side, n in ((rare[0], "q"), (rare[1], "c"), (places[0], "q"), (places[1], "c")):
-        rows = rows.join(side, ["country", n], "left")
-    shared = F.coalesce(F.size(F.array_intersect("rare_q", "rare_c")), F.lit(0))
-    made = pairs.set_features() | pairs.string_features() | {
-        "rrf_score": F.col("rrf"), "n_channels_hit": F.col("n_hit"), "best_channel_rank": F.col("best_rank"), "is_source3": F.col("is_s3"),
-        **{x: F.col(x) for x in pairs.CONTEXT[:5]}, "shared_rare_address_tokens": F.when(shared > 0, shared).otherwise(0),
-        "city_region_agreement": F.coalesce(pairs.location_agreement(F.col("places_q"), F.col("places_c")), F.lit(0.0)),
-    }
-    return rows.select("country", "q", "c", *[made[x].cast("double").alias(x) for x in FEATURES])
+    df = pairs.address_df(pairs.forms(corpus))
+    q, c = (frame_records(x, df, corpus, rare_fraction) for x in (queries, corpus))
+    values = ["rrf", "n_hit", "best_rank", "is_s3"]
+    return _frame(compare.given(candidates.select("country", "q", "c", *values, F.col(score).cast("double").alias("given_score")), [*values, "given_score"], q, c, lambda x: x["given_score"]))
+
+
+def fused_feature_frame(queries: DataFrame, corpus: DataFrame, channels: list[similarity.Channel], digits: int = 9, rare_fraction: float = 0.01) -> DataFrame:
+    """The frame of the candidates that the channels find in the corpus (country, id, name, address, is_s3), ranked by their rounded fused scores."""
+    df = pairs.address_df(pairs.forms(corpus))
+    q, c = frame_records(queries, df, corpus, rare_fraction), frame_records(corpus, df, corpus, rare_fraction, "is_s3")
+    return _frame(compare.fused(queries, corpus, channels, q, c, lambda x: np.floor(x["rrf"] * 10.0**digits + 0.5) / 10.0**digits))
 
 
 def setting_scores(scored: DataFrame, truth: DataFrame, thresholds=THRESHOLDS, margins=MARGINS) -> DataFrame:
