@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -12,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmatch.functions import text as T
+from kinmatch.operators import compare, similarity
 from kinmatch.operators.pairs import linear_score
 
 
@@ -108,3 +112,80 @@ def fit_calibrated(fit: DataFrame, calibrate: DataFrame, features: list[str], la
     model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.9, seed=42).fit(assemble.transform(fit.withColumn("label", F.col(label).cast("double"))))
     raw = model.transform(assemble.transform(calibrate)).select(F.col(label).cast("double").alias("label"), vector_to_array("probability")[1].alias("raw"))
     return CalibratedModel(features, model, IsotonicRegression(labelCol="label", featuresCol="raw").fit(raw))
+
+
+def _summed(packed: DataFrame, columns: list[str], of: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int) -> np.ndarray:
+    """The sum of of(features, label) (n numbers) over steps of packed rows; the label is the last of columns, more than 0 or not."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n)
+        for batch in batches:
+            for data in batch["rows"]:
+                rows = compare.unpacked(data.as_buffer(), columns)
+                for i in range(0, len(rows), 1 << 16):
+                    x = np.column_stack([rows[c].slice(i, 1 << 16).to_numpy() for c in columns])
+                    total += of(x[:, :-1], x[:, -1] > 0)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["x"])
+
+    told = packed.select("rows").mapInArrow(part, "x array<double>")
+    return np.array([x or 0.0 for x in told.agg(*[F.sum(F.col("x")[k]) for k in range(n)]).first()])
+
+
+def fit_linear_packed(packed: DataFrame, features: list[str], label: str) -> LinearModel:
+    """The model of fit_linear() from all packed rows (compare.py) with label > 0, by Newton's method: a few sums for each step."""
+    columns, k = [*features, label], len(features) + 1
+    told = _summed(packed, columns, lambda x, y: np.array([len(y), y.sum(), *x.sum(axis=0)]), k + 1)
+    n, pos = told[:2]
+    mean = told[2:] / max(n, 1)
+    scale = np.sqrt(_summed(packed, columns, lambda x, y: ((x - mean) ** 2).sum(axis=0), k - 1) / max(n, 1))
+    scale[scale == 0] = 1.0
+    names = lambda x: dict(zip(features, map(float, x)))
+    if pos in (0, n):
+        return LinearModel(names(mean), names(scale), names(np.zeros(k - 1)), float("inf") if pos else float("-inf"))
+    of_class = n / (2.0 * pos), n / (2.0 * (n - pos))
+    ridge = np.array([*np.ones(k - 1), 0.0])  # a penalty of 1 / n on the mean loss
+
+    def told_at(b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            x = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+            z, w = x @ b, np.where(y, *of_class)
+            p = 0.5 * (1 + np.tanh(0.5 * z))
+            return np.concatenate([[w @ np.logaddexp(0, np.where(y, -z, z))], x.T @ (w * (p - y)), (x.T @ (x * (w * p * (1 - p))[:, None])).ravel()])
+
+        out = _summed(packed, columns, of, 1 + k + k * k)
+        return out[0] + 0.5 * ridge @ b**2, out[1 : k + 1] + ridge * b, out[k + 1 :].reshape(k, k) + np.diag(ridge)
+
+    at = np.zeros(k)
+    loss, slope, curve = told_at(at)
+    for _ in range(200):
+        step = np.linalg.solve(curve + 1e-12 * n * np.eye(k), slope)
+        if np.abs(step).max() <= 1e-7 * max(1.0, np.abs(at).max()):
+            break
+        then = told_at(at - step)
+        while then[0] > loss + 1e-9 * abs(loss) and np.abs(step).max() > 1e-12:
+            step /= 2
+            then = told_at(at - step)
+        at, (loss, slope, curve) = at - step, then
+    return LinearModel(names(mean), names(scale), names(at[:-1]), float(at[-1]))
+
+
+def best_of_packed(packed: DataFrame, model: LinearModel, most: int, kinds: tuple[str, str]) -> DataFrame:
+    """(country, q, c, score): of the pairs of each chunk those that are among a query's best so many; kinds: the types of q and c."""
+    features = list(model.coefficient)
+    weights = [model.coefficient[x] / model.scale[x] for x in features]
+    shift = model.intercept - sum(model.mean[x] / model.scale[x] * model.coefficient[x] for x in features)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for country, data in zip(batch["country"], batch["rows"]):
+                rows = compare.unpacked(data.as_buffer(), ["q", "c", *features])
+                score = np.full(len(rows), shift)
+                for x, w in zip(features, weights):
+                    score = score + w * rows[x].to_numpy()
+                q, c = (similarity._ordered(rows[x].combine_chunks())[1] for x in "qc")
+                order = np.lexsort((c, -score, q))
+                first = np.flatnonzero(np.diff(q[order], prepend=-1))
+                kept = order[np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order))) < most]
+                yield from pa.table({"country": pa.array([country.as_py()] * len(kept), pa.string()), "q": rows["q"].take(pa.array(kept)), "c": rows["c"].take(pa.array(kept)), "score": score[kept]}).combine_chunks().to_batches()
+
+    return packed.select("country", "rows").mapInArrow(best, f"country string, q {kinds[0]}, c {kinds[1]}, score double")
